@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that defines it.
 MODULES = {
+    "op3_line_dedup": "line_dedup",
     "op4_sharding": "sharding",
     "op5_fingerprints": "fingerprint",
     "op6_mixing": "mixing",
+    "op7_quality_knn": "quality",
     "op9_bestfit_packing": "packing",
     "op10_license_scan": "license_scan",
 }
