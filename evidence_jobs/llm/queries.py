@@ -6,11 +6,13 @@ from importlib import import_module
 
 #: query name -> module of this subpackage that defines it.
 MODULES = {
+    "op1_exact_topk": "topk",
     "op3_line_dedup": "line_dedup",
     "op4_sharding": "sharding",
     "op5_fingerprints": "fingerprint",
     "op6_mixing": "mixing",
     "op7_quality_knn": "quality",
+    "op8_html_extraction": "html_main",
     "op9_bestfit_packing": "packing",
     "op10_license_scan": "license_scan",
 }
@@ -21,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from evidence_jobs.llm.topk import OP1_SQL
+
+    return {"op1_exact_topk": OP1_SQL}
