@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module of this subpackage that defines it.
 MODULES = {
     "op1_exact_topk": "topk",
+    "op2_ngram_jaccard": "ngram_jaccard",
     "op3_line_dedup": "line_dedup",
     "op4_sharding": "sharding",
     "op5_fingerprints": "fingerprint",

@@ -30,7 +30,7 @@ def integers(rows: list, scale: float) -> np.ndarray:
     """floor(scale * x) of equal-length vectors, as 64-bit integers where these are exact, else as Python's."""
     floats = np.floor(np.array(rows, dtype=np.float64).reshape(len(rows), -1) * scale)
     if floats.size and (not np.isfinite(floats).all() or np.abs(floats).max() >= EXACT):
-        exact = [[math.floor(x) if math.isfinite(x * scale) is False else int(f) for x, f in zip(r, fr, strict=True)] for r, fr in zip(rows, floats, strict=True)]
+        exact = [[int(f) if math.isfinite(f) else int(x) * int(scale) for x, f in zip(r, fr, strict=True)] for r, fr in zip(rows, floats, strict=True)]
         return np.array(exact, dtype=object)
     return floats.astype(np.int64)
 
@@ -165,12 +165,12 @@ def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
