@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from evidence_jobs.queries.registry import QUERIES, SQL
+
+MODULES = ["scalars"]
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"evidence_jobs.queries.{module}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
