@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidence_jobs.queries.registry import QUERIES, SQL
 
-MODULES = ["scalars"]
+MODULES = ["scalars", "normalization", "truth"]
 
 
 def _load() -> None:
