@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidence_jobs.queries.registry import QUERIES, SQL
 
-MODULES = ["scalars", "normalization", "truth"]
+MODULES = ["scalars", "normalization", "truth", "case_packets"]
 
 
 def _load() -> None:
