@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
@@ -17,33 +18,63 @@ from evidence_jobs.llm.common import saved
 
 #: Pieces that one partition packs at a time, and rounds of exchange at most.
 PART_PIECES, ROUNDS = 50_000, 4
-#: Entries of a worker's cache of pre-tokens; it starts anew when full.
-CACHE = 1_000_000
+#: Entries of a worker's cache of word ids; it starts anew when full.
+CACHE = 500_000
 #: The byte-level pre-tokens of the vocabulary file (a fixed value of its format).
-PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts of these characters alone are split into pre-tokens here; others go to the tokenizer whole.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ‐-‧]*")
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters alone, with single spaces, are encoded word by word; others go to the tokenizer whole.
+PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027]*")
+
+
+def _byte_names() -> dict[str, int]:
+    """The printable characters that stand for bytes in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _word_encoder(path: str):
+    """Ids of a text by the same merges, without the tokenizer's bookkeeping; None if the file is of another kind."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        parsed = json.load(file)
+    model, before = parsed["model"], parsed.get("pre_tokenizer") or {}
+    vocabulary = model.get("vocab")
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not parsed.get("normalizer")
+    pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+    if model.get("type") != "BPE" or not plain or any(vocabulary.get(p) != 256 + i for i, p in enumerate(pairs)):
+        return None
+    names, special = _byte_names(), {t["content"] for t in parsed.get("added_tokens", [])}
+    ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    return tiktoken.Encoding("words", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """A function from text to its ids as little-endian unsigned 32-bit bytes."""
+    """A function from text to its ids as little-endian unsigned 32-bit bytes.
+
+    A space between two other characters starts a pre-token, so a text with single
+    spaces falls into words whose ids don't hang on each other; frequent ones are kept.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer, word_ids, known = Tokenizer.from_file(path), _word_encoder(path), {}
     as_bytes = lambda ids: np.array(ids, dtype="<u4").tobytes()
 
     def encode(text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if word_ids is None or "<|" in text or "  " in text or text[-1:] == " " or not PLAIN.fullmatch(text):
             return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = PRETOKENS.findall(text)
-        if missing := [p for p in dict.fromkeys(parts) if p not in known]:
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(dict.fromkeys(parts))
-            for p, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[p] = as_bytes(e.ids)
-        return b"".join(map(known.__getitem__, parts))
+        first, *rest = text.split(" ")
+        out = [as_bytes(word_ids(first))]
+        for word in rest:
+            ids = known.get(word)
+            if ids is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                ids = known[word] = as_bytes(word_ids(" " + word))
+            out.append(ids)
+        return b"".join(out)
 
     return encode
 
