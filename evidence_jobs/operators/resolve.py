@@ -128,17 +128,31 @@ def detect_places(cases: DataFrame, wards: DataFrame, mappings: DataFrame, query
     return grams.join(dictionary(known), grams["gram"] == known["name"]).select("case_id", without_final_u(F.col("name")).alias("name"), "ward_number").distinct()
 
 
+def reached_through(mappings: DataFrame, old: str, new: str) -> DataFrame:
+    """Distinct (start, reached): what a name leads to when the mappings are walked once in order of seq.
+
+    A mapping that holds a name reached before it adds its other side, so paths have
+    ascending seq. mappings is a dictionary; the walk is a recursive query over it.
+    """
+    steps = mappings.select("seq", F.explode(F.array(F.struct(F.col(old).alias("a"), F.col(new).alias("b")), F.struct(F.col(new).alias("a"), F.col(old).alias("b")))).alias("s")).select("seq", "s.a", "s.b").where("a <> '' AND b <> '' AND a <> b").distinct()
+    walk = """WITH RECURSIVE walk(start, reached, at) AS (
+        SELECT DISTINCT a, a, CAST(-1 AS BIGINT) FROM {steps} UNION ALL
+        SELECT walk.start, s.b, CAST(s.seq AS BIGINT) FROM walk JOIN {steps} s ON s.a = walk.reached AND s.seq > walk.at)
+        SELECT DISTINCT start, reached FROM walk"""
+    return mappings.sparkSession.sql(walk, steps=steps)
+
+
 def widened_names(detected: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Distinct (case_id, name): detected names and both names of every mapping that holds one."""
-    both = mappings.select(without_final_u(normalize_name(F.col("old_ward_name"))).alias("o"), without_final_u(normalize_name(F.col("new_ward_name"))).alias("n"))
-    pairs = both.select("o", "n", F.explode(F.array_distinct(F.array("o", "n"))).alias("name"))
-    reached = detected.select("case_id", "name").distinct().join(dictionary(pairs), "name").select("case_id", F.explode(F.array("o", "n")).alias("name"))
-    return detected.select("case_id", "name").unionByName(reached).distinct()
+    """Distinct (case_id, name): detected names and those that mappings lead to, with and without a final u."""
+    both = mappings.select("seq", *(without_final_u(normalize_name(F.col(f"{s}_ward_name"))).alias(s) for s in ("old", "new")))
+    own = detected.select("case_id", "name").distinct()
+    reached = own.join(dictionary(reached_through(both, "old", "new")), own["name"] == F.col("start")).select("case_id", F.col("reached").alias("name"))
+    every = own.unionByName(reached)
+    return every.select("case_id", F.explode(F.array_distinct(F.array("name", without_final_u(F.col("name"))))).alias("name")).distinct()
 
 
 def widened_numbers(detected: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Distinct (case_id, ward_number): detected numbers and those of mappings that hold a detected name."""
-    both = mappings.select(*(without_final_u(normalize_name(F.col(f"{s}_ward_name"))).alias(s) for s in ("old", "new")), "old_ward_number", "new_ward_number")
-    pairs = both.select(F.explode(F.array_distinct(F.array("old", "new"))).alias("name"), F.array("old_ward_number", "new_ward_number").alias("k"))
-    reached = detected.select("case_id", "name").distinct().join(dictionary(pairs), "name").select("case_id", F.explode("k").alias("ward_number"))
-    return detected.select("case_id", "ward_number").unionByName(reached).where("ward_number <> ''").distinct()
+    """Distinct (case_id, ward_number): detected numbers and those that mappings lead to."""
+    own = detected.select("case_id", "ward_number").where("ward_number <> ''").distinct()
+    reached = own.join(dictionary(reached_through(mappings, "old_ward_number", "new_ward_number")), own["ward_number"] == F.col("start")).select("case_id", F.col("reached").alias("ward_number"))
+    return own.unionByName(reached).distinct()

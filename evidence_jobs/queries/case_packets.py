@@ -79,12 +79,17 @@ def _(d):
     return resolve.detect_places(d.cases, d.wards, d.mappings)
 
 
-@query("jn15_widened_names", f"WITH {Q}, p AS ({DETECTED}) SELECT case_id, name FROM p UNION SELECT case_id, old_name FROM p JOIN {{mappings}} ON name IN (old_name, new_name) UNION SELECT case_id, new_name FROM p JOIN {{mappings}} ON name IN (old_name, new_name)")
+def reach_sql(old: str, new: str) -> str:
+    """Common table expressions: w(start, reached, hop), the walk over the mappings in order."""
+    return f"st AS (SELECT seq, {old} AS a, {new} AS b FROM {{mappings}} UNION SELECT seq, {new}, {old} FROM {{mappings}}), w(start, reached, hop) AS (SELECT DISTINCT a, a, CAST(-1 AS BIGINT) FROM st UNION SELECT w.start, st.b, CAST(st.seq AS BIGINT) FROM w JOIN st ON st.a = w.reached AND st.seq > w.hop)"
+
+
+@query("jn15_widened_names", f"WITH RECURSIVE {Q}, p AS ({DETECTED}), {reach_sql('old_name', 'new_name')} SELECT case_id, name FROM p UNION SELECT case_id, reached FROM p JOIN w ON start = name")
 def _(d):
     return resolve.widened_names(resolve.detect_places(d.cases, d.wards, d.mappings), d.mappings)
 
 
-@query("jn15_widened_numbers", f"WITH {Q}, p AS ({DETECTED}) SELECT case_id, ward_number FROM p UNION SELECT case_id, old_ward_number FROM p JOIN {{mappings}} ON name IN (old_name, new_name) UNION SELECT case_id, new_ward_number FROM p JOIN {{mappings}} ON name IN (old_name, new_name)")
+@query("jn15_widened_numbers", f"WITH RECURSIVE {Q}, p AS ({DETECTED}), {reach_sql('old_ward_number', 'new_ward_number')} SELECT case_id, ward_number FROM p UNION SELECT case_id, reached FROM p JOIN w ON start = ward_number")
 def _(d):
     return resolve.widened_numbers(resolve.detect_places(d.cases, d.wards, d.mappings), d.mappings)
 

@@ -30,7 +30,7 @@ VIEWS = {
                CAST(b.n_nationkey AS STRING) AS new_ward_number, b.n_name AS new_ward_name,
                LOWER(REPLACE(a.n_name, '_', ' ')) AS old_name, LOWER(REPLACE(b.n_name, '_', ' ')) AS new_name,
                CAST(1.0 AS DOUBLE) AS confidence, a.n_nationkey AS seq
-        FROM {nation} a JOIN {nation} b ON b.n_nationkey = (a.n_nationkey + 1) % 25""",
+        FROM {nation} a JOIN {nation} b ON b.n_nationkey = (a.n_nationkey + 1) % 25 WHERE a.n_nationkey % 3 < 2""",
     "aliases": """
         SELECT 'colony ' || CAST(n_nationkey AS STRING) AS alias, LOWER(REPLACE(n_name, '_', ' ')) AS canonical_ward_name,
                CAST(0.8 AS DOUBLE) AS confidence, n_nationkey AS seq FROM {nation} WHERE n_nationkey % 3 = 0""",
@@ -134,4 +134,5 @@ def with_views(sql: str) -> str:
     own = plain(sql).strip()
     if not ctes:
         return own
-    return f"WITH {', '.join(ctes)}{', ' + own[5:] if own[:5].upper() == 'WITH ' else ' ' + own}"
+    start = re.match(r"WITH (RECURSIVE )?", own)
+    return f"WITH {start[1] or '' if start else ''}{', '.join(ctes)}{', ' + own[start.end():] if start else ' ' + own}"
