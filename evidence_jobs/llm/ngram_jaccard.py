@@ -30,8 +30,12 @@ TABLE_BITS, CHUNK = 22, 4096
 HOT_BITS = 14
 #: Classes of the signature whose sums bound an overlap from above.
 CLASSES = 64
-#: While the pairs still to compare are more than so many times the postings, another round of stars comes first.
-PAIRS_PER_POSTING = 2
+#: Blocks of columns up to this many rows give all their pairs at once; longer ones are tied by stars first.
+SMALL_BLOCK = 16
+#: While the pairs still to compare are more than so many times the postings, a round of stars comes first, as long as it halves them.
+PAIRS_PER_POSTING = 4
+#: Bits of a size and of a position in a posting's packed word, and steps of an order level in an octave.
+BITS, STEPS = 27, 4
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -43,6 +47,11 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique(rolling_hashes(hashes, min(k, len(hashes))) ^ np.uint64(max(0, k - len(hashes))))
 
 
+def set_id(s: np.ndarray) -> int:
+    """The first 64 bits of a set's 128-bit hash."""
+    return int(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64)[0])
+
+
 def signature(s: np.ndarray) -> bytes:
     """How many shingles fall in each class, up to 65535."""
     return np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES), 65535).astype("<u2").tobytes()
@@ -74,7 +83,7 @@ def _rows(batches):
 def _summed(batches):
     """Runs that come sorted by chunk: one row of size classes a chunk."""
     now, total, out = None, None, []
-    done = lambda: (now, np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes())
+    done = lambda: (now, np.ceil(STEPS * np.log2(total + 1.0)).astype(np.uint8).tobytes())
     for batch in batches:
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if chunk != now:
@@ -88,7 +97,7 @@ def _summed(batches):
 
 
 def ngram_levels(rows: DataFrame) -> np.ndarray:
-    """log2 of the count of every bucket of n-grams, over all documents."""
+    """STEPS times log2 of the count of every bucket of n-grams, over all documents."""
     runs = rows.where("chunk is not null").select("chunk", "counts")
     table = np.zeros((1 << TABLE_BITS) // CHUNK * CHUNK, np.uint8)
     for r in runs.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, levels binary").collect():
@@ -102,7 +111,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def postings(docs: DataFrame, levels) -> DataFrame:
-    """(h, salt, sid, n, pos): the bounded matrix, column by column; salt splits the columns of very frequent n-grams."""
+    """(h, sid, w): the bounded matrix, column by column; w packs a hot flag, salt, size and position."""
 
     def bounded(batches):
         table, seen = levels.value, set()
@@ -112,18 +121,27 @@ def postings(docs: DataFrame, levels) -> DataFrame:
                 s = shingles(text)
                 if not len(s):
                     continue
-                sid = int(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64)[0])
+                sid = set_id(s)
                 if sid in seen:
                     continue
                 seen.add(sid)
                 level = table[(s & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
                 first = np.lexsort((s, level))[: prefix_length(len(s))]
-                salt = (sid & 0x7FFFFFFF) % (1 << np.maximum(level[first].astype(np.int64) - HOT_BITS, 0))
-                parts.append((s[first].view(np.int64), salt.astype(np.int32), np.full(len(first), sid, np.int64), np.full(len(first), len(s), np.int32), np.arange(len(first), dtype=np.int32), level[first] > HOT_BITS))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int32, np.int32, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "salt", "sid", "n", "pos", "hot"])
+                over = np.clip(level[first].astype(np.int64) // STEPS - HOT_BITS, 0, 8)
+                salt = (sid & 0xFF) % (1 << over)
+                word = ((over > 0).astype(np.int64) << 62) | (salt << (2 * BITS)) | (len(s) << BITS) | np.arange(len(first))
+                parts.append((s[first].view(np.int64), np.full(len(first), sid, np.int64), word))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "sid", "w"])
+
+    return docs.select("_text").mapInArrow(bounded, "h long, sid long, w long")
+
 
-    return docs.select("_text").mapInArrow(bounded, "h long, salt int, sid long, n int, pos int, hot boolean")
+def unpacked(columns: DataFrame) -> DataFrame:
+    """(h, sid, salt, hot, n, pos)."""
+    w = F.col("w")
+    part = lambda shift, bits: F.shiftright(w, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    return columns.select("h", "sid", part(2 * BITS, 8).cast("int").alias("salt"), (part(62, 1) == 1).alias("hot"), part(BITS, BITS).cast("int").alias("n"), w.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("pos"))
 
 
 def may_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int = PERCENT) -> Column:
@@ -159,95 +177,98 @@ def _overlaps(batches):
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link, by whole rows.
 
-    A bound from the signatures discards most pairs that don't; the sets of the others
-    are made again from the texts, only where a bit table of the wanted sets says so.
+    A bound from the signatures discards most pairs that don't. The sets of the others
+    are made again from the text of each class's first document, which a bit table of
+    the wanted documents finds; other texts are not looked at.
     """
     sig = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     bounded = pairs.select("a", "b").join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    left = saved(bounded.mapInArrow(_sig_bound, "a long, b long, na long, nb long").select("a", "b"))
-    wanted = left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "sid", 26))
+    key = lambda c: classes.select(F.col("sid").alias(c), F.col("key").alias(f"k{c}"))
+    left = saved(bounded.mapInArrow(_sig_bound, "a long, b long, na long, nb long").select("a", "b").join(key("a"), "a").join(key("b"), "b"))
+    wanted = left.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "key", 26))
 
     def sets(batches):
-        seen = set()
         for batch in batches:
-            ids, found = [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
-                sid = int(np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64)[0])
-                if len(s) and sid not in seen and in_table(table.value, np.array([sid]))[0]:
-                    seen.add(sid)
-                    ids.append(sid)
-                    found.append(s.view(np.int64))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(in_table(table.value, keys))
+            found = [shingles(t).view(np.int64) for t in batch.column(1).take(pa.array(at)).to_pylist()]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             values = np.concatenate([*found, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["sid", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["key", "s"])
 
-    own = docs.select("_text").mapInArrow(sets, "sid long, s array<bigint>").join(wanted, "sid", "left_semi")
-    own = saved(own.groupBy("sid").agg(F.first("s").alias("s")))
-    joined = left.join(own.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    return saved(joined.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long"))
+    own = docs.select("key", "_text").mapInArrow(sets, "key long, s array<bigint>")
+    joined = left.join(own.select(F.col("key").alias("ka"), F.col("s").alias("sa")), "ka").join(own.select(F.col("key").alias("kb"), F.col("s").alias("sb")), "kb")
+    return saved(joined.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long").distinct())
 
 
 def _stars(columns: DataFrame, comp: Column, turn: int) -> DataFrame:
-    """At most one pair a set: with the star centre of its columns' blocks that it meets most often.
+    """At most two pairs a set: with the star centres of the block that it meets most often and of its largest block.
 
-    The centre of a block is its member of the component that comes first in this turn's
-    order; members of that component have no pair. Blocks of a split column are tied by
-    a star over their centres.
+    The centre of a block is, in the first turn, the member with the largest share of
+    its n-grams in these columns, as an original has among its edited copies; later, one
+    drawn by hash. Members of the centre's component have no pair. Blocks of a split
+    column are tied by a star over their centres.
     """
-    rank = F.struct(F.xxhash64(F.lit(turn), comp).alias("r"), comp.alias("c"), "sid", "n", "pos")
+    first = -F.col("share") if turn == 0 else F.lit(0.0)
+    rank = F.struct(first.alias("f"), F.xxhash64(F.lit(turn), comp).alias("r"), comp.alias("c"), "sid", "n", "pos")
     block = Window.partitionBy("h", "salt")
-    with_centre = columns.withColumn("centre", F.min(rank).over(block))
+    with_centre = columns.withColumn("centre", F.min(rank).over(block)).withColumn("size", F.count(F.lit(1)).over(block))
     own = with_centre.where((comp != F.col("centre.c")) & may_link(F.col("n"), F.col("pos"), F.col("centre.n"), F.col("centre.pos")))
-    own = own.select("sid", F.col("centre.sid").alias("other"))
+    own = own.select("sid", F.col("centre.sid").alias("other"), "size")
     tops = with_centre.where("hot").groupBy("h", "salt").agg(F.first("centre").alias("centre"))
-    first = tops.groupBy("h").agg(F.min("centre").alias("top"))
-    ties = tops.join(first, "h").where("centre.c <> top.c").select(F.col("centre.sid").alias("sid"), F.col("top.sid").alias("other"))
-    met = own.unionByName(ties).groupBy("sid", "other").agg(F.count(F.lit(1)).alias("m"))
-    return met.groupBy("sid").agg(F.max(F.struct("m", F.xxhash64("other").alias("r"), "other")).alias("best")).select(F.col("sid").alias("a"), F.col("best.other").alias("b"))
+    top = tops.groupBy("h").agg(F.min("centre").alias("top"))
+    ties = tops.join(top, "h").where("centre.c <> top.c").select(F.col("centre.sid").alias("sid"), F.col("top.sid").alias("other"), F.lit(0).cast("long").alias("size"))
+    met = own.unionByName(ties).groupBy("sid", "other").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size"))
+    best = met.groupBy("sid").agg(F.max_by("other", F.struct("m", "other")).alias("x"), F.max_by("other", F.struct("size", "m", "other")).alias("y"))
+    return best.select(F.col("sid").alias("a"), F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
 
 
-def _with_components(columns: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return columns.withColumn("comp", F.col("sid"))
+def _with_components(columns: DataFrame, comps: DataFrame) -> DataFrame:
     return columns.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
 
 
-def set_links(docs: DataFrame, classes: DataFrame, levels) -> DataFrame | None:
+def set_links(docs: DataFrame, classes: DataFrame, levels) -> DataFrame:
     """(node, component) of the distinct sets that have links.
 
-    Stars come first: a pair of each set with a centre of its columns ties large groups
-    of near copies together with one comparison a member. Then every column is left with
-    members of different components only, and all their pairs that the bounds allow are
-    compared, so no link between components is missed; pairs inside one can't change it.
+    All pairs of short columns that the bounds allow are compared first. Long columns
+    are tied by stars, which link a large group of near copies with a comparison or two
+    a member. What then stands in a column in different components is compared pair by
+    pair, so no link between components is missed; pairs inside one can't change it.
     """
-    block = Window.partitionBy("h", "salt")
-    dealt = postings(docs, levels).withColumn("lo", F.min("sid").over(block)).withColumn("hi", F.max("sid").over(block))
-    columns = saved(dealt.where("lo <> hi or hot").drop("lo", "hi"))
-    n_postings, links, comps, turn = columns.count(), [], None, 0
+    block = Window.partitionBy("h", F.shiftright("w", 2 * BITS))
+    before = block.orderBy("sid").rowsBetween(1 - SMALL_BLOCK, -1)
+    counted = postings(docs, levels).withColumn("m", F.count(F.lit(1)).over(block)).withColumn("prior", F.collect_list(F.struct("sid", "w")).over(before))
+    short = (F.col("m") <= SMALL_BLOCK) & (F.col("w") < (1 << 62))
+    dealt = counted.where("m > 1 or w >= " + str(1 << 62)).select("h", "sid", "w", short.alias("short"), F.when(short, F.col("prior")).alias("prior"))
+    dealt = saved(dealt.where("not short or size(prior) > 0"))
+    at = lambda w, shift: F.shiftright(w, shift).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    each = dealt.where("short").select("sid", "w", F.explode("prior").alias("o")).where(F.col("sid") != F.col("o.sid"))
+    allowed = each.where(may_link(at(F.col("w"), BITS), at(F.col("w"), 0), at(F.col("o.w"), BITS), at(F.col("o.w"), 0)))
+    found = verified(allowed.select(F.greatest("sid", "o.sid").alias("a"), F.least("sid", "o.sid").alias("b")).distinct(), docs, classes)
+    links, comps = [found], connected_components(found)
+
+    long = unpacked(dealt.where("not short"))
+    shares = long.groupBy("sid").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    columns = saved(long.join(shares, "sid"))
+    n_postings, turn, last = columns.count(), 0, float("inf")
     while True:
-        now = saved(_with_components(columns, comps)) if comps is not None else _with_components(columns, None)
+        now = saved(_with_components(columns, comps))
         groups = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
         per_column = groups.groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("k")).where("k > 1")
         pairs = per_column.agg(F.coalesce(F.sum((F.col("m").cast("double") * F.col("m") - F.col("same")) / 2), F.lit(0.0))).first()[0]
-        if pairs == 0 or turn and pairs <= PAIRS_PER_POSTING * n_postings:
+        if turn and (pairs <= PAIRS_PER_POSTING * n_postings or pairs > last / 2):
             break
         found = verified(_stars(now, F.col("comp"), turn), docs, classes)
-        turn += 1
-        if found.isEmpty():
-            break
+        turn, last = turn + 1, pairs
         links.append(found)
         comps = connected_components(reduce(DataFrame.unionByName, links))
-    if pairs:
-        open_ = now.join(per_column.select("h"), "h", "left_semi")
-        side = lambda c: open_.select("h", *(F.col(x).alias(f"{x}_{c}") for x in ("sid", "n", "pos", "comp")))
-        ordered = (F.col("comp_a") != F.col("comp_b")) & (F.struct("n_a", "sid_a") < F.struct("n_b", "sid_b"))
-        crossed = side("a").join(side("b"), "h").where(ordered & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
-        found = verified(crossed.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), docs, classes)
-        if not found.isEmpty():
-            comps = connected_components(reduce(DataFrame.unionByName, [*links, found]))
-    return comps
+    open_ = now.join(per_column.select("h"), "h", "left_semi")
+    side = lambda c: open_.select("h", *(F.col(x).alias(f"{x}_{c}") for x in ("sid", "n", "pos", "comp")))
+    ordered = (F.col("comp_a") != F.col("comp_b")) & (F.struct("n_a", "sid_a") < F.struct("n_b", "sid_b"))
+    crossed = side("a").join(side("b"), "h").where(ordered & may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b")))
+    links.append(verified(crossed.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), docs, classes))
+    return connected_components(reduce(DataFrame.unionByName, links))
 
 
 def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,22 +283,18 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     left out. Shingles are compared by 64-bit hashes and sets by 128 bits; should two
     different sets share the first 64 of these, the run stops with an error.
     """
-    rows = docs.select(F.col(id_column).alias("did"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"))
+    rows = docs.select(F.col(id_column).alias("did"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"), F.xxhash64(id_column, F.xxhash64(text)).alias("key"))
     kind = rows.schema["did"].dataType.simpleString()
-    made = saved(rows.mapInArrow(_rows, f"did {kind}, th long, n long, sid long, second long, sig binary, chunk int, counts binary"))
+    made = saved(rows.select("did", "th", "_text").mapInArrow(_rows, f"did {kind}, th long, n long, sid long, second long, sig binary, chunk int, counts binary"))
     own = made.where("chunk is null")
-    classes = saved(own.where("sid is not null").groupBy("sid").agg(F.min("did").alias("did"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("second").alias("lo"), F.max("second").alias("hi")))
+    classes = saved(own.where("sid is not null").groupBy("sid").agg(F.min("did").alias("did"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min_by(F.xxhash64("did", "th"), F.struct("did", "th")).alias("key"), F.min("second").alias("lo"), F.max("second").alias("hi")))
     if not classes.where("lo <> hi").isEmpty():
         raise ValueError("two different sets share a 64-bit hash")
     levels = docs.sparkSession.sparkContext.broadcast(ngram_levels(made))
     comps = set_links(rows, classes, levels)
-    named = classes.select("sid", "did")
-    if comps is not None:
-        linked = named.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        least = linked.groupBy("component").agg(F.min("did").alias("component_id"))
-        named = linked.join(least, "component").select("sid", "component_id")
-    else:
-        named = named.withColumnRenamed("did", "component_id")
+    linked = classes.select("sid", "did").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = linked.groupBy("component").agg(F.min("did").alias("component_id"))
+    named = linked.join(least, "component").select("sid", "component_id")
     out = own.select("did", "th", "n", "sid").join(named, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("did")).otherwise(F.col("component_id"))
     return out.select(F.col("did").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"))
