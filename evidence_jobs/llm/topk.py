@@ -60,6 +60,8 @@ class Accumulator:
             for d in np.flatnonzero(query):
                 rows, weights = lists[d]
                 scores[rows] += query[d] * (weights if scores.dtype != object else weights.astype(object))
+            if scores.dtype == object:
+                scores = np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], dtype=np.int64)
             best += self.selected(own, ids, scores)
             if len(best) > 64:
                 best.sort(key=lambda x: (-x[0], x[1]))
@@ -71,7 +73,7 @@ class Accumulator:
         if len(others) < len(ids):
             ids, scores = ids[others], scores[others]
         if len(ids) > self.k:
-            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k] if scores.dtype != object else sorted(scores)[-self.k]
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             above = np.flatnonzero(scores > least)
             ties = np.flatnonzero(scores == least)[: self.k - len(above)]
             at = np.concatenate([above, ties])
@@ -82,7 +84,7 @@ class Accumulator:
         out = []
         for query, (_, best) in self.queries.items():
             best.sort(key=lambda x: (-x[0], x[1]))
-            out += [(query, i, max(-(2**63), min(2**63 - 1, s))) for s, i in best[: self.k]]
+            out += [(query, i, s) for s, i in best[: self.k]]
         return out
 
 
@@ -94,7 +96,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.
     Vectors that are null, empty or hold null or non-finite components take no part, nor
     do rows without an id. Vectors of different lengths never meet. A repeated query id
     counts once, with its smallest vector; repeated candidate rows each count. Scores
-    beyond 64 bits are cut to the nearest long. Empty tables give an empty result.
+    beyond 64 bits are cut to the nearest long first. Empty tables give an empty result.
 
     Queries come in blocks of fixed size, candidates in streams; a task holds one query
     block and one block of candidates. Both sides are dealt to (query block, stream)
