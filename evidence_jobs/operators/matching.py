@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from evidence_jobs.functions import routing, text
 from evidence_jobs.operators.places import dictionary
 
-# Ward numbers compare within a family of regimes; `common` joins the old one only.
-REGIME_FAMILIES = [(a, b) for a in ("live_gba_xyinfo", "368_or_369", "368", "369") for b in ("368_or_369", "368", "369")] + [
-    (a, b) for a in ("198_or_225_or_243", "198", "225", "243") for b in ("198_or_225_or_243", "198", "225", "243", "common")
-]
 #: Issue types that no work record bears on; matches kept of a case.
 SKIPPED, MOST_MATCHES = ["power", "traffic", "water_sewage"], 20
 NOTE = "Public row; not proof of field resolution."
 
 
 def regimes_compatible(case: Column, record: Column) -> Column:
+    """Ward numbers compare within a family of regimes only; `common` joins the old family."""
     a, b = F.lower(F.trim(case)), F.lower(F.trim(record))
     new = a.isin("live_gba_xyinfo", "368_or_369", "368", "369")
     old = a.isin("198_or_225_or_243", "198", "225", "243")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidence_jobs.functions import routing, text
+from evidence_jobs.functions import routing
 from evidence_jobs.functions.geometry import MULTIPOLYGON, point_state
 from evidence_jobs.operators import geo, matching, packets, resolve
 from evidence_jobs.queries.registry import any_of, matches, norm, query

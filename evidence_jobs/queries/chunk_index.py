@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import routing, text
-from evidence_jobs.operators import index, matching, packets, resolve, retrieval
+from evidence_jobs.operators import index, packets, resolve, retrieval
 from evidence_jobs.operators.vectors import rank_by_cosine
 from evidence_jobs.queries.case_packets import DETECTED, Q, reach_sql
 from evidence_jobs.queries.registry import any_of, matches, norm, query
