@@ -84,12 +84,14 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     """Term weights by inverse document frequency, then the leading right singular vectors of the sample."""
     if not texts:
         return Model(np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros((0, 1), np.float32), np.zeros(0))
-    x = np.array([features(t) for t in texts])
+    x = np.empty((len(texts), FEATURES), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = features(t)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.3
     part = np.repeat(SHARES, [SHAPES * SHAPES, REPEATS, WORDS])
     weights = idf * part
-    terms = np.sqrt(x) * weights
-    axes = np.linalg.eigh(terms.T @ terms)[1][:, ::-1][:, :DIMENSIONS]  # right singular vectors, strongest first
+    terms = np.sqrt(x) * weights.astype(np.float32)
+    axes = np.linalg.eigh((terms.T @ terms).astype(float))[1][:, ::-1][:, :DIMENSIONS]  # right singular vectors, strongest first
     model = Model(weights, axes, np.zeros((0, 1), np.float32), np.array(labels, float))
     model.vectors = model.latent(x)
     return model
