@@ -1,4 +1,4 @@
-"""Removal of repeated passages by content-defined chunks of lines."""
+"""Removal of repeated passages by content-defined chunks of lines and by the shortest long runs around every line."""
 
 from __future__ import annotations
 
@@ -54,36 +54,65 @@ def eligible(chunk: bytes) -> bool:
     return sum(bool(line.strip()) for line in lines) >= 2
 
 
+def line_starts(data: bytes) -> list[int]:
+    """Offsets of the lines, and that of one more behind the end."""
+    return [0, *np.cumsum([len(line) + 1 for line in data.split(b"\n")]).tolist()]
+
+
+def spans(data: bytes) -> list[tuple[int, int]]:
+    """Line ranges (end exclusive) to compare: eligible chunks, and for each line the shortest runs of PARAGRAPH_WORDS words that begin or end with it.
+
+    A run of lines with so many words stands elsewhere only if the short runs inside it
+    do, and these cover all its lines, whatever stands before and after.
+    """
+    lines = data.split(b"\n")
+    ends = chunk_ends(lines)
+    found = {(a, b) for a, b in zip([0, *ends], ends, strict=False) if eligible(b"\n".join(lines[a:b]))}
+    words = np.cumsum([0, *(len(line.split()) for line in lines)])
+    if words[-1] >= PARAGRAPH_WORDS:
+        stop = np.searchsorted(words, words[:-1] + PARAGRAPH_WORDS, "left").tolist()
+        start = (np.searchsorted(words, words[1:] - PARAGRAPH_WORDS, "right") - 1).tolist()
+        found.update((a, b) for a, b in enumerate(stop) if b <= len(lines))
+        found.update((a, b) for b, a in enumerate(start, 1) if a >= 0)
+    return sorted(found)
+
+
 def _hashes(batches):
     for batch in batches:
         at, places, high, low = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            for place, chunk in enumerate(chunks(text)):
-                if eligible(chunk):
-                    wide = np.frombuffer(xxh3_128_digest(chunk), np.int64)
-                    at.append(i)
-                    places.append(place)
-                    high.append(wide[0])
-                    low.append(wide[1])
+            data = (text or "").encode()
+            starts = line_starts(data)
+            for a, b in spans(data):
+                wide = np.frombuffer(xxh3_128_digest(data[starts[a] : starts[b] - 1]), np.int64)
+                at.append(i)
+                places.append(a << 32 | b)
+                high.append(wide[0])
+                low.append(wide[1])
         keys = batch.column(0).take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([keys, pa.array(places, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["_key", "place", "high", "low"])
+        yield pa.RecordBatch.from_arrays([keys, pa.array(places, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["_key", "place", "high", "low"])
 
 
 def repeated_places(docs: DataFrame, key: str = "_key") -> DataFrame:
-    """(_key, places): per document the chunks whose hash occurs earlier in the table, first occurrence by key and place."""
+    """(_key, place, first, high, low): the spans whose hash occurs more than once; `first` is the place of the first occurrence, by key and place, if that is in the same document.
+
+    A place has the first line in its upper half and the end in its lower one.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    all_chunks = docs.select(key, "_text").mapInArrow(_hashes, f"{key} {kind}, place int, high long, low long")
-    rows = saved(all_chunks)
+    all_spans = docs.select(key, "_text").mapInArrow(_hashes, f"{key} {kind}, place long, high long, low long")
+    rows = saved(all_spans)
     first = rows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "place")).alias("first")).where("n > 1").drop("n")
-    return rows.join(first, ["high", "low"]).select(key, "place", (F.struct(key, "place") == F.col("first")).alias("is_first"), "high", "low")
+    here = F.when(F.struct(key) == F.struct(F.col(f"first.{key}")), F.col("first.place"))
+    return rows.join(first, ["high", "low"]).select(key, "place", here.alias("first"), "high", "low")
 
 
-def _marked_chunks(batches):
+def _marked_spans(batches):
     for batch in batches:
         out = []
         for text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = chunks(text)
-            out += [(m["high"], m["low"], found[m["place"]]) for m in marks]
+            data = (text or "").encode()
+            starts = line_starts(data)
+            out += [(m["high"], m["low"], data[starts[m["place"] >> 32] : starts[m["place"] & 0xFFFFFFFF] - 1]) for m in marks]
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["high", "low", "form"])
 
@@ -94,27 +123,34 @@ def _cleaned(batches):
         texts, marks = batch.column(names.index("_text")).to_pylist(), batch.column(names.index("_marks")).to_pylist()
         out, removed_chunks, removed_words = [], [], []
         for text, mark in zip(texts, marks, strict=True):
-            drop = {m["place"] for m in mark or () if not m["is_first"]}
-            if not drop:
+            again = [(m["place"] >> 32, m["place"] & 0xFFFFFFFF, (m["first"] or 0) & 0xFFFFFFFF) for m in mark or () if m["place"] != m["first"]]
+            if not again:
                 out.append(text)
                 removed_chunks.append(0)
                 removed_words.append(0)
                 continue
-            found = chunks(text)
-            out.append(b"\n".join(c for i, c in enumerate(found) if i not in drop).decode())
-            removed_chunks.append(len(drop))
-            removed_words.append(sum(len(found[i].split()) for i in drop))
+            lines = text.encode().split(b"\n")
+            drop = np.zeros(len(lines), bool)
+            for a, b, kept in again:  # a run that overlaps its own first occurrence leaves that whole
+                drop[max(a, kept) : b] = True
+            ends = chunk_ends(lines)
+            whole = {(a, b) for a, b in zip([0, *ends], ends, strict=False) if eligible(b"\n".join(lines[a:b]))}
+            out.append(b"\n".join(line for line, gone in zip(lines, drop, strict=True) if not gone).decode())
+            removed_chunks.append(len(whole & {(a, b) for a, b, kept in again if kept <= a}))
+            removed_words.append(sum(len(lines[i].split()) for i in np.flatnonzero(drop)))
         yield pa.RecordBatch.from_arrays([batch.column(names.index("_row")), pa.array(out, pa.string()), pa.array(removed_chunks, pa.int32()), pa.array(removed_words, pa.int64())], ["_row", "_text", "removed_chunks", "removed_words"])
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated chunks of lines taken out of `text`, and removed_chunks int, removed_words long.
-
-    A chunk is removed where its bytes occur earlier, in order of id, text hash and
-    place; the first occurrence stays, and so do single short lines. Boundaries and
-    hashes come from whole texts. Equal hashes are grouped by their bytes; if one hash
-    ever stands for different bytes, its chunks all stay. Null texts stay null. Repeated
-    rows are equal in id and text: their chunks count as one document's and each row
+    """docs with repeated passages of lines taken out of `text`, and removed_chunks int, removed_words long.
+
+    A run of whole lines with PARAGRAPH_WORDS words or more, or an eligible chunk, is
+    removed where its bytes occur earlier, in order of id, text hash and place; the first
+    occurrence stays, and so do shorter runs that are no chunk. removed_chunks counts the
+    chunks among them, removed_words all words that go. Boundaries and hashes come from
+    whole texts. Equal hashes are grouped by their bytes; if one hash ever stands for
+    different bytes, its spans all stay. Null texts stay null. Repeated
+    rows are equal in id and text: their spans count as one document's and each row
     keeps the first occurrence. An empty table stays empty; other columns are kept;
     columns of the two new names are replaced.
     """
@@ -122,16 +158,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     key = F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"))
     rows = docs.select(F.struct(*names).alias("_row"), key.alias("_key"), F.col(text).alias("_text"))
     marks = saved(repeated_places(rows))
-    per_doc = marks.groupBy("_key").agg(F.collect_set(F.struct("place", "is_first", "high", "low")).alias("_marks"))
+    per_doc = marks.groupBy("_key").agg(F.collect_set(F.struct("place", "first", "high", "low")).alias("_marks"))
     lone = rows.select(F.struct("_key", *(F.col(f"_row.{c}") for c in names if c != text)).alias("_row"), "_key", "_text")
     per_doc = per_doc.select(F.col("_key.id").alias("_mid"), F.col("_key.hash").alias("_mhash"), "_marks")
     same = F.col("_key.id").eqNullSafe(F.col("_mid")) & (F.col("_key.hash") == F.col("_mhash"))
 
-    forms = lone.join(per_doc, same).select("_text", "_marks").mapInArrow(_marked_chunks, "high long, low long, form binary")
+    forms = lone.join(per_doc, same).select("_text", "_marks").mapInArrow(_marked_spans, "high long, low long, form binary")
     several = saved(forms.groupBy("high", "low", "form").agg(F.lit(1).alias("one")).groupBy("high", "low").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1"))
     if not several.isEmpty():
         kept = marks.join(several.drop("forms"), ["high", "low"], "left_anti")
-        per_doc = kept.groupBy("_key").agg(F.collect_set(F.struct("place", "is_first", "high", "low")).alias("_marks"))
+        per_doc = kept.groupBy("_key").agg(F.collect_set(F.struct("place", "first", "high", "low")).alias("_marks"))
         per_doc = per_doc.select(F.col("_key.id").alias("_mid"), F.col("_key.hash").alias("_mhash"), "_marks")
 
     marked = lone.join(per_doc, same, "left").select("_row", "_text", "_marks")

@@ -141,3 +141,21 @@ def test_chunk_boundaries_survive_a_shift():
     a, b = line_dedup.chunk_ends(lines), line_dedup.chunk_ends([b"new", b"lines", *lines])
     assert len(set(a) & {x - 2 for x in b}) >= 0.95 * len(a)
     assert line_dedup.chunk_ends([]) == [] and b"\n".join(line_dedup.chunks("a\n\nb")) == b"a\n\nb"
+
+
+def test_line_dedup_removes_every_repeated_run_of_fifty_words(spark):
+    """Two lines of 30, three of 20, six of 10 and one of 60 words, each between other lines; short lines and short runs stay."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    runs = [[line(f"p{n}k{i}w", n) for i in range(k)] for k, n in ((2, 30), (3, 20), (6, 10), (1, 60), (7, 8))] * 4
+    rows, want = [], {}
+    for i, run in enumerate(runs * 3):
+        run = [f"{x} g{i % len(runs)}" for x in run]
+        around = [line(f"d{i}x{j}y", 7) for j in range(4)]
+        rows.append((i, "\n".join([*around[:2], *run, *around[2:], "said once more"])))
+        want[i] = rows[-1][1] if i < len(runs) else "\n".join([*around, "said once more"])
+    rows.append((900, "\n".join([line("t", 10)] * 12)))
+    want[900] = "\n".join([line("t", 10)] * 5)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    words = {i: len(t.split()) for i, t in rows}
+    assert all(r["removed_words"] == words[r["doc_id"]] - len(want[r["doc_id"]].split()) for r in got)
