@@ -5,7 +5,8 @@ wanted where it is large. Size-derived bounds keep it sparse: only the rarest n-
 a document, as many as a partner may lack and one more, can be its first common one
 (prefix bound); sizes must be alike (size bound); and what follows the first common one
 must suffice (position bound). Column blocks of the bounded matrix are dealt by n-gram;
-pairs that reach a bound are summed up over whole rows, which gives exact overlaps.
+pairs that reach a bound are summed up over whole rows, which gives exact overlaps. The
+links of each document are then counted by products of blocks of rows inside components.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CLASSES = 64
 SMALL_BLOCK = 16
 #: While the pairs still to compare are more than so many times the postings, a round of stars comes first, as long as it halves them.
 PAIRS_PER_POSTING = 4
+#: Sets of a component that are multiplied with as many others at once, about, where links are counted.
+LINK_BLOCK = 256
 #: Bits of a size and of a position in a posting's packed word, and steps of an order level in an octave.
 BITS, STEPS = 27, 4
 
@@ -271,9 +274,74 @@ def set_links(docs: DataFrame, classes: DataFrame, levels) -> DataFrame:
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
-def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of the left shares with each of the right: a sparse product, summed up shingle by shingle."""
+    total = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return total
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right)), [len(s) for s in right])[order]
+    for row, s in zip(total, left, strict=True):
+        first, last = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+        counts = last - first
+        at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        row += np.bincount(owner[at], minlength=len(right))
+    return total
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Two blocks of a component: (sid, links), the documents that link with each set by pairs across the blocks (within one, if both are the same)."""
+    sides: list[dict] = [{}, {}]
+    for sid, size, block, low, high, text in zip(*(table.column(c).to_pylist() for c in ("sid", "size", "block", "low", "high", "_text")), strict=True):
+        if sid in sides[block != low]:
+            continue
+        s = shingles(text)
+        if len(s) and set_id(s) == sid:
+            sides[block != low][sid] = (s, size)
+    same = table.num_rows > 0 and table.column("low")[0] == table.column("high")[0]
+    left, right = sides[0], sides[0] if same else sides[1]
+    lengths = [np.array([len(s) for s, _ in side.values()], np.int64) for side in (left, right)]
+    weights = [np.array([size for _, size in side.values()], np.int64) for side in (left, right)]
+    linked = overlaps([s for s, _ in left.values()], [s for s, _ in right.values()]) * (100 + PERCENT) >= (lengths[0][:, None] + lengths[1][None, :]) * PERCENT
+    if same:
+        np.fill_diagonal(linked, False)
+    links = [linked @ weights[1], *([] if same else [weights[0] @ linked])]
+    sids = [*left, *([] if same else right)]
+    return pa.table({"sid": pa.array(sids, pa.int64()), "links": pa.array(np.concatenate(links), pa.int64())})
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sid, links): the documents with other sets that link with each set.
+
+    Links stay inside components. The sets of one are dealt to blocks, and each two
+    blocks (and each block with itself) are multiplied whole, so no pair is skipped; what
+    leaves a block are sums by set, not pairs. The work grows with the square of a
+    component's distinct sets.
+    """
+    sizes = comps.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
+    several = F.broadcast(sizes.where("blocks > 1"))
+    members = comps.join(several, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumnRenamed("node", "sid")
+    members = saved(members.withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).join(classes.select("sid", "key", "size"), "sid"))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(members, "key", 26))
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_table(table.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    own = docs.select("key", "_text").mapInArrow(wanted, "key long, _text string")
+    each = own.join(members, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "size", "_text")
+    summed = each.groupBy("component", "low", "high").applyInArrow(_block_links, "sid long, links long")
+    return saved(summed.groupBy("sid").agg(F.sum("links").alias("links")))
+
+
+def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
     """One row per document: id, n_shingles long, component_id, and text_hash (xxhash64 of the text).
 
+    With `links` also n_links long: how many other documents its set links with, equal
+    sets included, whether a component needs these links or not.
+
     A document's set: distinct shingles of five words, lower-cased A-Z; with fewer words
     the whole sequence; without words it is empty and linked with nothing, and its
     component is its own id. Two sets link at a Jaccard similarity of 0.75 or more;
@@ -287,7 +355,7 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     kind = rows.schema["did"].dataType.simpleString()
     made = saved(rows.select("did", "th", "_text").mapInArrow(_rows, f"did {kind}, th long, n long, sid long, second long, sig binary, chunk int, counts binary"))
     own = made.where("chunk is null")
-    classes = saved(own.where("sid is not null").groupBy("sid").agg(F.min("did").alias("did"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min_by(F.xxhash64("did", "th"), F.struct("did", "th")).alias("key"), F.min("second").alias("lo"), F.max("second").alias("hi")))
+    classes = saved(own.where("sid is not null").groupBy("sid").agg(F.min("did").alias("did"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("sig").alias("sig"), F.min_by(F.xxhash64("did", "th"), F.struct("did", "th")).alias("key"), F.min("second").alias("lo"), F.max("second").alias("hi")))
     if not classes.where("lo <> hi").isEmpty():
         raise ValueError("two different sets share a 64-bit hash")
     levels = docs.sparkSession.sparkContext.broadcast(ngram_levels(made))
@@ -295,9 +363,13 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     linked = classes.select("sid", "did").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = linked.groupBy("component").agg(F.min("did").alias("component_id"))
     named = linked.join(least, "component").select("sid", "component_id")
+    if links:
+        counted = classes.select("sid", "size").join(link_counts(rows, classes, comps), "sid", "left")
+        named = named.join(counted.select("sid", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "sid")
     out = own.select("did", "th", "n", "sid").join(named, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("did")).otherwise(F.col("component_id"))
-    return out.select(F.col("did").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"))
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select(F.col("did").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), *n_links, F.col("th").alias("text_hash"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,5 +386,5 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Components of all documents."""
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")
+    """Components of all documents, and the links of each."""
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), links=True).drop("text_hash")

@@ -159,3 +159,20 @@ def test_line_dedup_removes_every_repeated_run_of_fifty_words(spark):
     assert {r["doc_id"]: r["text"] for r in got} == want
     words = {i: len(t.split()) for i, t in rows}
     assert all(r["removed_words"] == words[r["doc_id"]] - len(want[r["doc_id"]].split()) for r in got)
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_links_are_those_of_all_pairs(docs, monkeypatch, block):
+    """Links inside a component count too: near copies of one text, copies and repeated rows."""
+    monkeypatch.setattr(ngram_jaccard, "LINK_BLOCK", block)
+    base = [f"v{i}" for i in range(90)]
+    more = [(700 + i, " ".join([*base[: i * 3], f"new{i}", *base[i * 3 + 1 :]]), "s", 0) for i in range(20)]
+    df = docs.unionByName(docs.sparkSession.createDataFrame(more + more[:3], docs.schema))
+    rows, sets = [(r["doc_id"], r["text"]) for r in df.collect()], []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        sets.append({tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = Counter((rows[i][0], len(a), sum(near(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets))
+    got = Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_jaccard.ngram_components(df, links=True).collect())
+    assert got == want and max(n for _, _, n in want) > 15
