@@ -40,6 +40,29 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, names: list[str] | None = None) -> Column:
+    """The columns as one struct, by position, so that no name of theirs clashes with an operator's own."""
+    names = df.columns if names is None else names
+    return F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(names))) if names else F.struct(F.lit(True).alias("none"))
+
+
+def unpacked(row: str, names: list[str]) -> list[Column]:
+    """The columns of a struct made by packed()."""
+    return [F.col(row).getField(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices, so that what a task makes of one at a time stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

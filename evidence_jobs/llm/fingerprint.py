@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
-from evidence_jobs.llm.common import bit_table, in_table, saved, shuffle_partitions
+from evidence_jobs.llm.common import bit_table, column, in_table, saved, shuffle_partitions, slices
+
+#: Tasks that share the rows of one repeated fingerprint.
+SALTS = 16
 
 
 def canonical(text: str | None) -> bytes:
@@ -45,7 +48,7 @@ def repeated_forms(docs: DataFrame, fingerprints: DataFrame, text: str = "text")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(several.select(_short(F.col("fingerprint")).alias("h")), "h", 27))
 
     def forms(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [canonical(t) for t in batch.column(0).to_pylist()]
             names = [xxh3_128_hexdigest(f) for f in found]
             keep = np.flatnonzero(in_table(table.value, np.array([int(n[:15], 16) for n in names], dtype=np.int64)))
@@ -61,7 +64,7 @@ def _renamed(docs: DataFrame, colliding: DataFrame, id_column: str, text: str) -
     kind = docs.schema[id_column].dataType.simpleString()
 
     def forms(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxh3_128_hexdigest, found), pa.string()), pa.array(found, pa.binary())], ["_rid", "fingerprint", "form"])
 
@@ -85,25 +88,33 @@ def resolved(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text:
 
 
 def with_groups(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """found with group_id, the smallest id of its equal fingerprints, and copies, their number."""
-    groups = found.groupBy("fingerprint").agg(F.min(id_column).alias("group_id"), F.count(F.lit(1)).alias("copies"))
-    return found.join(groups, "fingerprint").select(*found.columns, "group_id", "copies")
+    """found with group_id, the smallest id of its equal fingerprints, and copies, their number.
+
+    Only repeated fingerprints are joined back, each once for every salt, so the rows of
+    a large group are spread over SALTS tasks.
+    """
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(column(id_column), F.monotonically_increasing_id()), F.lit(SALTS)))
+    groups = found.groupBy("fingerprint").agg(F.min(column(id_column)).alias("group_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    joined = salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["fingerprint", "_salt"], "left")
+    own = [column(c) for c in found.columns]
+    return joined.select(*own, F.coalesce("group_id", column(id_column)).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
 def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, fingerprint, group_id and copies.
 
     Null text counts as empty, an empty text has a fingerprint like any other; repeated
-    rows each keep a row; a null id stays null; other columns are left out.
+    rows each keep a row; a null id stays null; other columns are left out, whatever their names.
     """
 
     def digests(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, batch.column(1).to_pylist()), pa.string())], [id_column, "fingerprint"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, batch.column(1).to_pylist()), pa.string())], ["id", "fingerprint"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    found = saved(docs.select(id_column, text).mapInArrow(digests, f"`{id_column}` {kind}, fingerprint string"))
-    return with_groups(resolved(docs, found, id_column, text), id_column)
+    rows = docs.select(column(id_column).alias("id"), column(text).alias("text"))
+    found = saved(rows.mapInArrow(digests, rows.select("id").schema.add("fingerprint", "string")))
+    grouped = with_groups(resolved(rows, found, "id"), "id")
+    return grouped.select(F.col("id").alias(id_column), "fingerprint", "group_id", "copies")
 
 
 def edited(text: str, following: str) -> str:
@@ -131,7 +142,7 @@ def _edit_row(doc_id, text: str, following: str) -> dict:
 def _edit_partition(batches):
     """Rows in order, each with its successor; the first text and the last row wait for the neighbours."""
     part, before, head = TaskContext.get().partitionId(), None, None
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if before:
@@ -163,4 +174,4 @@ def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
     around = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part")))
     last = ends.select("doc_id", "text", around.alias("following")).mapInArrow(_edit_last, _OPEN_DDL.partition(", part")[0])
     found = walked.where("part is null").select(*_EDIT.names).unionByName(last)
-    return with_groups(resolved(docs, found)).select(*_EDIT.names, "group_id", "copies")
+    return resolved(docs, found).select(*_EDIT.names)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from evidence_jobs.llm.common import mixed, saved
+from evidence_jobs.llm.common import column, mixed, packed, saved, slices, unpacked
 
 #: A line of so many words is a paragraph and stands as a chunk of its own, like several wrapped lines.
 PARAGRAPH_WORDS = 50
-#: Lines in the rolling window; one of so many windows ends a chunk; lines in a chunk at most.
-WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
+#: Lines in the rolling window; one of so many windows ends a chunk.
+WINDOW, DIVISOR = 2, 3
 
 
 def chunk_ends(lines: list[bytes]) -> list[int]:
@@ -29,14 +29,9 @@ def chunk_ends(lines: list[bytes]) -> list[int]:
     roll = hashes.copy()
     for back in range(1, WINDOW):
         roll[back:] += hashes[:-back] * np.uint64(2 * back + 1)
-    ends, last = [], 0
     long = [len(line) > PARAGRAPH_WORDS and len(line.split()) >= PARAGRAPH_WORDS for line in lines]
     wanted = (mixed(roll) % np.uint64(DIVISOR) == 0).tolist()
-    for i in range(1, len(lines) + 1):
-        if i == len(lines) or wanted[i - 1] or long[i - 1] or long[i] or i - last >= MOST_LINES:
-            ends.append(i)
-            last = i
-    return ends
+    return [i for i in range(1, len(lines) + 1) if i == len(lines) or wanted[i - 1] or long[i - 1] or long[i]]
 
 
 def chunks(text: str | None) -> list[bytes]:
@@ -78,7 +73,7 @@ def spans(data: bytes) -> list[tuple[int, int]]:
 
 
 def _hashes(batches):
-    for batch in batches:
+    for batch in slices(batches):
         at, places, high, low = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             data = (text or "").encode()
@@ -98,16 +93,15 @@ def repeated_places(docs: DataFrame, key: str = "_key") -> DataFrame:
 
     A place has the first line in its upper half and the end in its lower one.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    all_spans = docs.select(key, "_text").mapInArrow(_hashes, f"{key} {kind}, place long, high long, low long")
-    rows = saved(all_spans)
+    schema = docs.select(key).schema.add("place", "long").add("high", "long").add("low", "long")
+    rows = saved(docs.select(key, "_text").mapInArrow(_hashes, schema))
     first = rows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "place")).alias("first")).where("n > 1").drop("n")
     here = F.when(F.struct(key) == F.struct(F.col(f"first.{key}")), F.col("first.place"))
     return rows.join(first, ["high", "low"]).select(key, "place", here.alias("first"), "high", "low")
 
 
 def _marked_spans(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = (text or "").encode()
@@ -118,7 +112,7 @@ def _marked_spans(batches):
 
 
 def _cleaned(batches):
-    for batch in batches:
+    for batch in slices(batches):
         names = batch.schema.names
         texts, marks = batch.column(names.index("_text")).to_pylist(), batch.column(names.index("_marks")).to_pylist()
         out, removed_chunks, removed_words = [], [], []
@@ -155,11 +149,11 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     columns of the two new names are replaced.
     """
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_words")]
-    key = F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"))
-    rows = docs.select(F.struct(*names).alias("_row"), key.alias("_key"), F.col(text).alias("_text"))
-    marks = saved(repeated_places(rows))
+    key = F.struct(column(id_column).alias("id"), F.xxhash64(column(text)).alias("hash"))
+    marks = saved(repeated_places(docs.select(key.alias("_key"), column(text).alias("_text"))))
     per_doc = marks.groupBy("_key").agg(F.collect_set(F.struct("place", "first", "high", "low")).alias("_marks"))
-    lone = rows.select(F.struct("_key", *(F.col(f"_row.{c}") for c in names if c != text)).alias("_row"), "_key", "_text")
+    others = [c for c in names if c != text]
+    lone = docs.select(packed(docs, others).alias("_row"), key.alias("_key"), column(text).alias("_text"))
     per_doc = per_doc.select(F.col("_key.id").alias("_mid"), F.col("_key.hash").alias("_mhash"), "_marks")
     same = F.col("_key.id").eqNullSafe(F.col("_mid")) & (F.col("_key.hash") == F.col("_mhash"))
 
@@ -171,10 +165,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         per_doc = per_doc.select(F.col("_key.id").alias("_mid"), F.col("_key.hash").alias("_mhash"), "_marks")
 
     marked = lone.join(per_doc, same, "left").select("_row", "_text", "_marks")
-    kind = lone.schema["_row"].dataType.simpleString()
-    done = marked.mapInArrow(_cleaned, f"_row {kind}, _text string, removed_chunks int, removed_words long")
-    columns = [F.col("_text").alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in names]
-    return done.select(*columns, "removed_chunks", "removed_words")
+    done = marked.mapInArrow(_cleaned, lone.select("_row", "_text").schema.add("removed_chunks", "integer").add("removed_words", "long"))
+    own = dict(zip([*others, text], [*unpacked("_row", others), F.col("_text").alias(text)], strict=True))
+    return done.select(*(own[c] for c in names), "removed_chunks", "removed_words")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

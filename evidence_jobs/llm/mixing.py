@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidence_jobs.llm.common import saved, word_count
+from evidence_jobs.llm.common import column, packed, saved, unpacked, word_count
 
 #: Hash bits of a document, and of one histogram level.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -89,7 +89,7 @@ def _stepped(state: DataFrame, crossed: DataFrame, past: Column) -> DataFrame:
 
 
 def row_hash(key_columns: list[str], seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(c) for c in key_columns)), 64 - HASH_BITS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(column(c) for c in key_columns)), 64 - HASH_BITS)
 
 
 def mix_sources(df: DataFrame, key_columns: list[str], source: str = "source", text: str = "text", seed: int = 29) -> DataFrame:
@@ -99,18 +99,19 @@ def mix_sources(df: DataFrame, key_columns: list[str], source: str = "source", t
     by half a document's size at most. Rows with equal key_columns share one decision.
     Samples are nested: a larger budget takes what a smaller one takes. Reruns agree. An
     empty table gives an empty result; a null source is a source of its own, the last.
-    Existing columns of the four names are replaced.
+    Existing columns of the four names are replaced; all others may have any name.
     """
     names = [c for c in df.columns if c not in ("size", "source_size", "target", "times")]
-    sized = df.select(*names, word_count(F.col(text)).alias("size"), row_hash(key_columns, seed).alias("_hash"))
-    narrow = saved(sized.select(F.col(source).alias("source"), "size", F.col("_hash").alias("hash")))
-    return _taken(sized, thresholds(narrow), source).drop("_hash")
+    sized = df.select(packed(df, names).alias("row"), column(source).alias("source"), word_count(column(text)).alias("size"), row_hash(key_columns, seed).alias("_hash"))
+    cuts = thresholds(saved(sized.select("source", "size", F.col("_hash").alias("hash"))))
+    return _taken(sized, cuts).select(*unpacked("row", names), "size", "source_size", "target", "times")
 
 
-def _taken(sized: DataFrame, cuts: DataFrame, source: str) -> DataFrame:
+def _taken(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """sized (source, size, _hash, more) with source_size, target and times."""
     cuts = cuts.withColumnRenamed("source", "_s")
     times = F.col("copies") + F.when(F.col("_hash") < F.col("below"), 1).otherwise(0)
-    return sized.join(cuts, F.col(source).eqNullSafe(F.col("_s"))).withColumn("times", times.cast("int")).drop("_s", "copies", "below")
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).withColumn("times", times.cast("int")).drop("_s", "copies", "below")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -118,4 +119,4 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     narrow = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(["doc_id"], 29).alias("_hash")))
     cuts = thresholds(narrow.select("source", "size", F.col("_hash").alias("hash")))
-    return _taken(narrow, cuts, "source").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return _taken(narrow, cuts).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from evidence_jobs.llm.common import bit_table, in_table, rolling_hashes, saved, word_hashes
+from evidence_jobs.llm.common import bit_table, column, in_table, packed, rolling_hashes, saved, slices, unpacked, word_hashes
 from evidence_jobs.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -65,12 +66,10 @@ def _rows(batches):
     counts = np.zeros(1 << TABLE_BITS, np.uint32)
     schema = ["did", "th", "n", "sid", "second", "sig", "chunk", "counts"]
     kind = pa.int64()
-    for batch in batches:
+    for batch in slices(batches):
         kind = batch.column(0).type
         sets = [shingles(t) for t in batch.column(2).to_pylist()]
-        if sets:
-            together = np.concatenate(sets) & np.uint64((1 << TABLE_BITS) - 1)
-            counts += np.bincount(together.astype(np.int64), minlength=1 << TABLE_BITS).astype(np.uint32)
+        np.add.at(counts, (np.concatenate(sets) & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64), np.uint32(1))
         wide = [np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
         some = [len(s) > 0 for s in sets]
         pick = lambda x: pa.array([v if ok else None for v, ok in zip(x, some, strict=True)], pa.int64())  # noqa: B023, E731
@@ -118,7 +117,7 @@ def postings(docs: DataFrame, levels) -> DataFrame:
 
     def bounded(batches):
         table, seen = levels.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             parts: list[tuple] = []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -140,7 +139,7 @@ def postings(docs: DataFrame, levels) -> DataFrame:
     return docs.select("_text").mapInArrow(bounded, "h long, sid long, w long")
 
 
-def unpacked(columns: DataFrame) -> DataFrame:
+def posting_columns(columns: DataFrame) -> DataFrame:
     """(h, sid, salt, hot, n, pos)."""
     w = F.col("w")
     part = lambda shift, bits: F.shiftright(w, shift).bitwiseAND(F.lit((1 << bits) - 1))
@@ -165,7 +164,7 @@ def _sig_bound(batches):
 
 
 def _overlaps(batches):
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column(0), batch.column(1)
         sa, sb = batch.column(2), batch.column(3)
         keep = []
@@ -192,7 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "key", 26))
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             at = np.flatnonzero(in_table(table.value, keys))
             found = [shingles(t).view(np.int64) for t in batch.column(1).take(pa.array(at)).to_pylist()]
@@ -251,7 +250,7 @@ def set_links(docs: DataFrame, classes: DataFrame, levels) -> DataFrame:
     found = verified(allowed.select(F.greatest("sid", "o.sid").alias("a"), F.least("sid", "o.sid").alias("b")).distinct(), docs, classes)
     links, comps = [found], connected_components(found)
 
-    long = unpacked(dealt.where("not short"))
+    long = posting_columns(dealt.where("not short"))
     shares = long.groupBy("sid").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
     columns = saved(long.join(shares, "sid"))
     n_postings, turn, last = columns.count(), 0, float("inf")
@@ -351,9 +350,10 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     left out. Shingles are compared by 64-bit hashes and sets by 128 bits; should two
     different sets share the first 64 of these, the run stops with an error.
     """
-    rows = docs.select(F.col(id_column).alias("did"), F.xxhash64(text).alias("th"), F.col(text).alias("_text"), F.xxhash64(id_column, F.xxhash64(text)).alias("key"))
-    kind = rows.schema["did"].dataType.simpleString()
-    made = saved(rows.select("did", "th", "_text").mapInArrow(_rows, f"did {kind}, th long, n long, sid long, second long, sig binary, chunk int, counts binary"))
+    hashed = F.xxhash64(column(text))
+    rows = docs.select(column(id_column).alias("did"), hashed.alias("th"), column(text).alias("_text"), F.xxhash64(column(id_column), hashed).alias("key"))
+    schema = StructType().add("did", rows.schema["did"].dataType).add("th", "long").add("n", "long").add("sid", "long").add("second", "long").add("sig", "binary").add("chunk", "integer").add("counts", "binary")
+    made = saved(rows.select("did", "th", "_text").mapInArrow(_rows, schema))
     own = made.where("chunk is null")
     classes = saved(own.where("sid is not null").groupBy("sid").agg(F.min("did").alias("did"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("sig").alias("sig"), F.min_by(F.xxhash64("did", "th"), F.struct("did", "th")).alias("key"), F.min("second").alias("lo"), F.max("second").alias("hi")))
     if not classes.where("lo <> hi").isEmpty():
@@ -375,14 +375,13 @@ def ngram_components(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, the one with the smallest id; documents without words all stay."""
     found = saved(ngram_components(docs, id_column, text))
-    stays = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_hash")).alias("first"))
+    stays = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(column(id_column).isNull().alias("none"), column(id_column).alias("id"), "text_hash")).alias("first"))
     keep = stays.select(F.col("first.id").alias("_kid"), F.col("first.text_hash").alias("_kth"), F.lit(False).alias("_bare"))
-    bare = found.where("n_shingles = 0").select(F.col(id_column).alias("_kid"), F.col("text_hash").alias("_kth"), F.lit(True).alias("_bare")).distinct()
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(id_column).alias("_id"), F.xxhash64(text).alias("_th"))
+    bare = found.where("n_shingles = 0").select(column(id_column).alias("_kid"), F.col("text_hash").alias("_kth"), F.lit(True).alias("_bare")).distinct()
+    rows = docs.select(packed(docs).alias("_row"), column(id_column).alias("_id"), F.xxhash64(column(text)).alias("_th"))
     joined = rows.join(keep.unionByName(bare), F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth")))
     once = Window.partitionBy("_kid", "_kth").orderBy(F.lit(1))
-    return joined.withColumn("_n", F.row_number().over(once)).where("_bare or _n = 1").select("_row.*")
+    return joined.withColumn("_n", F.row_number().over(once)).where("_bare or _n = 1").select(*unpacked("_row", docs.columns))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,13 +12,14 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from evidence_jobs.llm.common import saved
+from evidence_jobs.llm.common import column, saved, slices
 
 #: Pieces that one partition packs at a time, and rounds of exchange at most.
 PART_PIECES, ROUNDS = 50_000, 4
-#: Entries of a worker's cache of word ids; it starts anew when full.
-CACHE = 500_000
+#: Entries of a task's cache of word ids; it starts anew when full.
+CACHE = 50_000
 #: The byte-level pre-tokens of the vocabulary file (a fixed value of its format).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone, with single spaces, are encoded word by word; others go to the tokenizer whole.
@@ -50,12 +50,12 @@ def _word_encoder(path: str):
     return tiktoken.Encoding("words", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str):
     """A function from text to its ids as little-endian unsigned 32-bit bytes.
 
     A space between two other characters starts a pre-token, so a text with single
     spaces falls into words whose ids don't hang on each other; frequent ones are kept.
+    Each task makes its own, so that a worker holds nothing of it afterwards.
     """
     from tokenizers import Tokenizer
 
@@ -92,13 +92,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     _row tells repeated rows apart.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(column(id_column).alias("doc"), column(text).alias("text"))
     names = ["_row", "doc", "piece", "start", "length", "ids_crc32"]
 
     def tokenize(batches):
         encode, row = _encoder(tokenizer_path), TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             at = []
             for i, t in enumerate(batch.column(1).to_pylist()):
@@ -111,8 +111,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             columns = [pa.array(rows, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(pieces, pa.int32()), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    ddl = f"_row long, doc {kind}, piece int, start long, length long, ids_crc32 long"
-    return saved(docs.select(id_column, text).mapInArrow(tokenize, ddl))
+    schema = StructType().add("_row", "long").add("doc", rows.schema["doc"].dataType).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    return saved(rows.mapInArrow(tokenize, schema))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -169,13 +169,14 @@ def _packer(capacity: int, base: int, last: bool):
         part = part.sort_values(["_row", "piece"], ignore_index=True)
         lengths = part["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        gap = len(fill) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        gap = len(fill) - bound
         # The emptiest bins go back: a fixed number when certified, else those around the gap.
         back = np.argsort(fill, kind="stable")[: 0 if last else max(4, 32 * gap)]
         kept = np.ones(len(fill), bool)
         kept[back[fill[back] < capacity]] = False
         key = base + int(part["_part"].iloc[0])
-        return pd.DataFrame({"_row": part["_row"], "piece": part["piece"], "sequence_id": (key << 32) + bins, "offset": offsets, "kept": kept[bins]})
+        return pd.DataFrame({"_row": part["_row"], "piece": part["piece"], "sequence_id": (key << 32) + bins, "offset": offsets, "bins": len(fill), "bound": bound, "kept": kept[bins]})
 
     return pack
 
@@ -187,9 +188,11 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     of bins equals its lower bound is certified. One with a gap, and every partition's
     last bins that are far from full, give their pieces back; these are dealt anew into
     fewer partitions and packed again, until nothing is given back that could help.
-    A piece's place hangs on its hash, so no partition gets more than its share.
+    A piece's place hangs on its hash, so no partition gets more than its share. `bins`
+    and `bound` are the certificate of the partition that packed a piece: how many bins
+    it used, and the least that any packing of its pieces needs.
     """
-    schema = "_row long, piece int, sequence_id long, offset long, kept boolean"
+    schema = "_row long, piece int, sequence_id long, offset long, bins int, bound int, kept boolean"
     left, n = pieces.select("_row", "piece", "length"), pieces.count()
     done, used = [], 0
     for step in range(ROUNDS + 1):
@@ -212,14 +215,14 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound.
 
     Null and empty texts are the end id alone. Repeated rows are documents of their own.
     A null id stays null; other columns are left out. No document is dropped; only those
     over the capacity are cut.
     """
     packed = pack_pieces(token_pieces(docs, tokenizer_path, capacity, end_id, id_column, text), capacity)
-    return packed.select(F.col("doc").alias(id_column), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select(F.col("doc").alias(id_column), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound")
 
 
 def tokenizer_file() -> str:

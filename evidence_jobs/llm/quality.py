@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_jobs.llm.common import mixed, word_hashes
+from evidence_jobs.llm.common import column, mixed, packed, slices, unpacked, word_hashes
 
 #: Labelled documents that fit the model at most (the first by a hash of their id), latent dimensions, neighbours that vote.
 SAMPLE_ROWS, DIMENSIONS, NEIGHBOURS = 4096, 48, 9
@@ -124,21 +124,25 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "score"]
-    at = names.index(text)
+    others = [c for c in names if c != text]
+    rows = docs.select(packed(docs, others).alias("row"), column(text).alias("text"))
 
     def score(batches):
-        for batch in batches:
-            found = shared.value.scores(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
+        for batch in slices(batches):
+            found = shared.value.scores(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["row", "text", "score"])
 
-    schema = docs.select(*names).schema.add("score", "double")
-    return docs.select(*names).mapInArrow(score, schema)
+    scored = rows.mapInArrow(score, rows.select("row", "text").schema.add("score", "double"))
+    own = dict(zip([*others, text], [*unpacked("row", others), F.col("text").alias(text)], strict=True))
+    return scored.select(*(own[c] for c in names), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches THRESHOLD, with their own columns."""
-    scored = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return score_quality(scored, train(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
+    kept = [c for c in docs.columns if c != "text"]
+    rows = docs.select(packed(docs, kept).alias("row"), "text")
+    own = dict(zip([*kept, "text"], [*unpacked("row", kept), F.col("text")], strict=True))
+    return score_quality(rows, train(docs, labels)).where(F.col("score") >= THRESHOLD).select(*(own[c] for c in docs.columns))
 
 
 def op7_quality_knn(spark, sf_dir: str) -> DataFrame:
