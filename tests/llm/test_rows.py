@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_jobs.llm import html_main, license_scan, mixing, packing, quality, sharding
+from evidence_jobs.llm import license_scan, mixing, packing, quality, sharding
 
 
 def test_shards_are_even_and_slots_gapless(docs, empty):
@@ -161,34 +161,3 @@ def test_quality_defines_odd_inputs(spark, docs, empty):
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in quality.score_quality(docs, quality.train(empty, labels)).collect()} == {1.0}
     assert quality.score_quality(empty, model).count() == 0 and quality.keep_good(docs, labels).columns == docs.columns
-
-
-PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><header class=top>Site name</header><nav><ul><li>Home<li>News</ul></nav>
-<div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>One <b>bo</b>ld<br>line<p>Two&nbsp;words<aside>Related</aside><div class="share">Share</div><p>Three</article>
-<section id="comments"><p>Reader says</p></section><form>Search<input></form><footer>&copy; x</footer></body>"""
-
-
-def test_main_text_of_a_page():
-    assert html_main.main_text(PAGE, frozenset()) == "Title & more One bold line Two words Three"
-    assert html_main.main_text("", frozenset()) == "" and html_main.main_text("plain <b>text", frozenset()) == "plain text"
-    assert html_main.main_text("<p>a < b & c</p><!-- no", frozenset()) == "a < b & c"
-
-
-def test_template_of_a_host(spark):
-    page = lambda i: f"<html><body><div>Site of many things</div><div><p>story {i} alpha</p><p>more {i} beta</p></div><div>Made by us</div></body></html>"
-    rows = [(i, "http://Host.example/a", page(i)) for i in range(8)] + [(50, "http://lone.example/x", page(99)), (60, None, None), (61, "http://host.example/z", page(1)), (61, "http://host.example/z", page(1))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = defaultdict(list)
-    for r in html_main.extract_main(df).collect():
-        got[r["page_id"]].append(r)
-    assert got[3][0]["text"] == "story 3 alpha more 3 beta" and got[3][0]["n_chars"] == 25
-    assert got[50][0]["text"] == "Site of many things story 99 alpha more 99 beta Made by us"
-    assert got[60][0]["text"] == "" and len(got[61]) == 2
-    assert html_main.extract_main(df.limit(0)).count() == 0
-
-
-def test_tree_matching_finds_the_largest_match():
-    a, b = html_main.parse("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>"), html_main.parse("<div><p>x</p><p>y</p></div>")
-    pairs = []
-    assert html_main.tree_match(a, b, pairs) == 6
-    assert sorted((x.text, y.text) for x, y in pairs) == [("x", "x"), ("y", "y")]
