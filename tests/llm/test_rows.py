@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_jobs.llm import license_scan, mixing, packing, quality, sharding
+from evidence_jobs.llm import mixing, packing, quality, sharding
 
 
 def test_shards_are_even_and_slots_gapless(docs, empty):
@@ -72,26 +72,6 @@ def test_targets_with_a_tiny_source(spark):
     assert got == pytest.approx(brute_targets(sizes))
 
 
-def test_licenses_against_a_scan(spark, empty):
-    rng = random.Random(2)
-    pieces = ["Under the MIT License", "apache license, VERSION 2.0", "CC-BY-NC", "under the mit", "license version 2", "cc by", "foo", "é bar", "\n", license_scan.LONG_TEMPLATES[0][1]]
-    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 30))) for _ in range(80)] + [None, "", "cc by nc " * 500]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 2), (None, "cc by nc", 1)], "doc_id long, text string, score int")
-    got = defaultdict(list)
-    for r in license_scan.scan_licenses(df).collect():
-        got[r["doc_id"]].append(r)
-    assert len(got[3]) == 2 and got[None][0]["n_base"] == 1
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    for i, t in enumerate(texts):
-        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(low))
-        places = [(p, label) for label, phrase in license_scan.BASE_PHRASES for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split()]
-        r = got[i][0]
-        at = [p for p, _ in places]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
-        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert license_scan.scan_licenses(empty).count() == 0
-
-
 def test_ids_are_the_tokenizers(docs):
     from tokenizers import Tokenizer
 
