@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -148,13 +148,23 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
 
 
 def has_any(text: Column, needles: list[str]) -> Column:
-    """Any needle is a substring of text."""
-    return text.rlike("|".join(re.escape(n) for n in needles))
+    """Any needle is a substring of text. A needle that holds another one needs no test of its own."""
+    shortest = [n for n in dict.fromkeys(needles) if not any(m != n and m in n for m in needles)]
+    return reduce(Column.__or__, (text.contains(n) for n in shortest))
 
 
 def issue_keys(text: Column) -> Column:
-    """Issue keys with an alias in the normalised text, in fixed order."""
-    name = normalize_name(text)
+    """Issue keys with an alias in the text, in fixed order."""
+    return normalized_issue_keys(normalize_name(text))
+
+
+def spoken_ward_numbers(text: Column, digits: str = "1,3") -> Column:
+    """Numbers that a text names as a ward: `ward 12`, `Ward12`, `ward no. 12`, `ward number - 12`."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)\bward\s*(?:no\.?|number)?\s*-?\s*(\d{" + digits + r"})\b"), F.lit(1))
+
+
+def normalized_issue_keys(name: Column) -> Column:
+    """issue_keys of a text that is normalised already."""
     return F.filter(F.array(*(F.when(has_any(name, a), F.lit(k)) for k, a in ISSUE_ALIASES)), lambda k: k.isNotNull())
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from evidence_jobs.functions import text
 from evidence_jobs.operators.places import dictionary
+from evidence_jobs.sources.stored import stored
 
 #: Rows of an issue bucket that are stored at most, and salts of its two-phase trim.
 ISSUE_BUCKET_ROWS, TRIM_SALTS = 5000, 64
 #: Words of a place name in the index.
 PLACE_WORDS = 4
+STATS_COLUMNS = ["chunk_key", "seq", "status", "grievance_date", "external_complaint_id"]
 WARD_FIELDS = ["ward", "ward_no", "ward no", "ward number", "ward_no_name"]
 COLUMNS = ["chunk_key", "chunk_type", "source_id", "raw_file", "row_number", "title", "text", "fields", "date"]
 
@@ -92,25 +94,31 @@ def number_names(wards: DataFrame, mappings: DataFrame) -> DataFrame:
     return rows.where("number <> '' AND name <> ''").groupBy("number").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def place_keys(chunks: DataFrame, names: DataFrame, numbers: DataFrame) -> DataFrame:
-    """Distinct (chunk_key, place): names in the search text or the ward name field, and names of ward numbers in ward-like fields.
+def place_keys(chunks: DataFrame, names: DataFrame, numbers: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Distinct (chunk_key, chunk_type, place): names in the search text or the ward name field, and names of ward numbers in ward-like fields or spoken in the text.
 
-    n-grams and numbers of a chunk are distinct within the row before they are exploded.
+    A name is looked for only where its first word stands. `keep` names the columns kept
+    of a chunk. Chunks are read several times; store them first.
     """
+    keep = keep or ["chunk_key", "chunk_type"]
     ward = text.normalize_name(F.coalesce(F.try_element_at("fields", F.lit("ward_name")), F.lit("")))
-    spoken = F.array_union(text.ngrams(F.col("search_text"), PLACE_WORDS), F.array(ward, text.without_final_u(ward)))
-    by_name = chunks.select("chunk_key", F.explode(spoken).alias("name")).join(dictionary(names), "name").select("chunk_key", F.col("name").alias("place"))
-    wards = F.map_filter("fields", lambda k, _: F.lower(k).contains("ward"))
-    exact = F.map_values(F.transform_values(F.map_filter("fields", lambda k, _: F.lower(k).isin(*WARD_FIELDS)), lambda _, v: F.trim(v)))
-    digits = F.flatten(F.transform(F.map_values(wards), lambda v: F.regexp_extract_all(v, F.lit(r"\b\d{1,3}\b"), F.lit(0))))
-    by_number = chunks.select("chunk_key", F.explode(F.array_distinct(F.concat(exact, digits))).alias("number")).join(dictionary(numbers), "number").select("chunk_key", F.explode("names").alias("place"))
-    return by_name.unionByName(by_number).distinct()
+    entries = F.map_entries("fields")
+    exact = F.transform(F.filter(entries, lambda e: F.lower(e["key"]).isin(*WARD_FIELDS)), lambda e: F.trim(e["value"]))
+    near = F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]).contains("ward")), lambda e: e["value"]), " | ")
+    said = F.concat(exact, F.regexp_extract_all(near, F.lit(r"\b\d{1,3}\b"), F.lit(0)), text.spoken_ward_numbers(F.col("search_text")))
+    words = F.split("name", " ")
+    first = names.where(F.size(words) <= PLACE_WORDS).select(F.element_at(words, 1).alias("token"), F.col("name").alias("place"))
+    in_text = chunks.select(*keep, "search_text", F.explode(F.split("search_text", " ")).alias("token")).join(dictionary(first), "token").where(text.contains_phrase(F.col("search_text"), F.col("place")))
+    in_field = chunks.select(*keep, F.explode(F.array_distinct(F.array(ward, text.without_final_u(ward)))).alias("place")).join(dictionary(names.select(F.col("name").alias("place"))), "place")
+    by_number = chunks.select(*keep, F.explode(F.array_distinct(said)).alias("number")).join(dictionary(numbers.select("number", F.explode("names").alias("place"))), "number")
+    parts = [part.select(*keep, "place") for part in (in_text, in_field, by_number)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 def bucket_keys(chunks: DataFrame, places: DataFrame) -> DataFrame:
     """(chunk_key, chunk_type, kind, bucket): type:place:name and type:issue:key."""
-    by_place = places.join(chunks.select("chunk_key", "chunk_type"), "chunk_key").select("chunk_key", "chunk_type", F.lit("place").alias("kind"), F.col("place").alias("value"))
-    by_issue = chunks.select("chunk_key", "chunk_type", F.lit("issue").alias("kind"), F.explode(text.issue_keys(F.col("search_text"))).alias("value"))
+    by_place = places.select("chunk_key", "chunk_type", F.lit("place").alias("kind"), F.col("place").alias("value"))
+    by_issue = chunks.select("chunk_key", "chunk_type", F.lit("issue").alias("kind"), F.explode(text.normalized_issue_keys(F.col("search_text"))).alias("value"))
     return by_place.unionByName(by_issue).withColumn("bucket", F.concat_ws(":", "chunk_type", "kind", "value"))
 
 
@@ -132,18 +140,17 @@ def complaint_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     Rows are distinct by chunk first. The ids are those of the first five rows, without
     the missing ones.
     """
-    once = rows.dropDuplicates([*keys, "chunk_key"])
-    facts = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("complaint_count"), F.max(F.when(F.col("grievance_date") != "", F.col("grievance_date"))).alias("latest_record_date"))
-    status = once.where("status <> ''").groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_breakdown"))
+    once = stored(rows.select(*keys, *STATS_COLUMNS).dropDuplicates([*keys, "chunk_key"]))
+    date = F.when(F.col("grievance_date") != "", F.col("grievance_date"))
+    status = F.when(F.col("status") != "", F.col("status"))
+    counted = once.groupBy(*keys, status.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.max(date).alias("d"))
     first = Window.partitionBy(*keys).orderBy("seq")
-    head = once.withColumn("_n", F.row_number().over(first)).where("_n <= 5").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "external_complaint_id"))).alias("h"))
-    ids = F.filter(F.transform("h", lambda x: x["external_complaint_id"]), lambda i: i.isNotNull() & (i != ""))
-    joined = facts
-    for more in (status, head.select(*keys, ids.alias("example_ids"))):
-        more = more.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in more.columns if c not in keys))
-        on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        joined = joined.join(more, on, "left").drop(*(f"_{k}" for k in keys))
-    return joined.withColumn("status_breakdown", F.coalesce("status_breakdown", F.create_map().cast("map<string,bigint>")))
+    head = once.withColumn("o", F.row_number().over(first)).where("o <= 5").select(*keys, F.struct("o", F.col("external_complaint_id").alias("id")).alias("h"))
+    both = counted.unionByName(head, allowMissingColumns=True).groupBy(*keys).agg(
+        F.sum("n").alias("complaint_count"), F.max("d").alias("latest_record_date"), F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "n")))).alias("status"), F.array_sort(F.collect_list("h")).alias("head")
+    )
+    ids = F.filter(F.transform("head", lambda x: x["id"]), lambda i: i.isNotNull() & (i != ""))
+    return both.select(*keys, "complaint_count", "latest_record_date", F.map_from_entries("status").alias("status_breakdown"), ids.alias("example_ids"))
 
 
 def bucket_stats(rows: DataFrame) -> DataFrame:

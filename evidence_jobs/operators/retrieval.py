@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import privacy, text
 from evidence_jobs.operators.index import WARD_FIELDS
+from evidence_jobs.operators.places import dictionary
+from evidence_jobs.sources.stored import stored
 
 #: Rows retrieved for a question, and their types in the order that comes first.
 MOST_CHUNKS = 12
@@ -37,13 +41,23 @@ def any_term(body: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: body.contains(t))
 
 
-def matches_place(search_text: Column, fields: Column, names: Column, numbers: Column) -> Column:
-    """A name stands in the text or is a field's value, or a ward field has one of the numbers."""
-    padded = F.concat(F.lit(" "), search_text, F.lit(" "))
-    spoken = F.exists(names, lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))
-    value = F.arrays_overlap(F.transform(F.map_values(fields), lambda v: text.normalize_name(v)), names)
-    ward = F.exists(F.map_entries(fields), lambda e: F.lower(e["key"]).isin(*WARD_FIELDS) & F.array_contains(numbers, F.trim(e["value"])))
-    return F.coalesce(spoken | value | ward, F.lit(False))
+def with_match_columns(chunks: DataFrame) -> DataFrame:
+    """chunks with what the place tests look at, made once a chunk: body, body_name, values, ward_values, and numbers spoken in the search text and in the body."""
+    body = F.lower(F.concat_ws(" ", "title", "text"))
+    wards = F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]).isin(*WARD_FIELDS))
+    out = chunks.withColumns({"body": body, "said": text.spoken_ward_numbers(F.col("search_text"), "1,"), "values": F.array_distinct(F.transform(F.map_values("fields"), lambda v: text.normalize_name(v)))})
+    return out.withColumns({"body_name": text.normalize_name(F.col("body")), "body_said": text.spoken_ward_numbers(F.col("body"), "1,"), "ward_values": F.transform(wards, lambda e: F.trim(e["value"]))})
+
+
+MATCH_COLUMNS = ["body", "body_name", "values", "ward_values", "said", "body_said"]
+
+
+def matches_place(normalized: str, said: str) -> Column:
+    """A name stands in the text or is a field's value, or a ward field has, or the text speaks of, one of the numbers."""
+    padded = F.concat(F.lit(" "), F.col(normalized), F.lit(" "))
+    spoken = F.exists("names", lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))
+    by_number = F.arrays_overlap("ward_values", "numbers") | F.arrays_overlap(said, "numbers")
+    return F.coalesce(spoken | F.arrays_overlap("values", "names") | by_number, F.lit(False))
 
 
 def questions(cases: DataFrame, names: DataFrame, numbers: DataFrame, intent: Column) -> DataFrame:
@@ -73,30 +87,50 @@ def candidates(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     return wanted_buckets(asked).join(buckets.select("bucket", "chunk_key"), "bucket").select("case_id", "chunk_key").distinct()
 
 
+def candidate_rows(asked: DataFrame, chunks: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Questions with their candidate chunks, each chunk once per question.
+
+    Every chunk carries the buckets that hold it, so that a pair met by several buckets
+    can be told apart in the row and needs no shuffle: the first common bucket keeps it.
+    """
+    wanted = wanted_buckets(asked)
+    asks = asked.join(wanted.groupBy("case_id").agg(F.collect_set("bucket").alias("wanted")), "case_id").join(wanted, "case_id")
+    held = buckets.join(dictionary(wanted.select("bucket").distinct()), "bucket", "left_semi").groupBy("chunk_key").agg(F.array_sort(F.collect_set("bucket")).alias("held"))
+    each = with_match_columns(chunks.join(held, "chunk_key")).withColumn("bucket", F.explode("held"))
+    met = each.join(dictionary(asks), "bucket")
+    return met.where((F.size("held") == 1) | (F.array_min(F.array_intersect("held", "wanted")) == F.col("bucket"))).drop("held", "wanted", "bucket")
+
+
 def filtered(pairs: DataFrame) -> DataFrame:
-    """Rows of questions with candidate chunks that pass the place, issue and term rules."""
+    """Rows of questions with candidate chunks (with_match_columns) that pass the term, issue and place rules."""
     c = F.col
     placed = (F.size("names") > 0) | (F.size("numbers") > 0)
-    on_place = matches_place(c("search_text"), c("fields"), c("names"), c("numbers"))
     on_terms = any_term(c("search_text"), c("terms"))
     complaint, money = c("chunk_type") == "complaint", c("chunk_type").isin("work_payment", "tender")
-    ok = F.when(placed, on_place).otherwise(complaint | on_terms)
-    ok = ok & (~complaint | (F.size("complaint_terms") == 0) | any_term(c("search_text"), c("complaint_terms")))
+    ok = ~complaint | (F.size("complaint_terms") == 0) | any_term(c("search_text"), c("complaint_terms"))
     ok = ok & (~money | (F.size("money_terms") == 0) | any_term(c("search_text"), c("money_terms")))
-    return pairs.where(ok & (~money | (F.size("names") == 0) | on_terms | text.has_any(c("search_text"), WORKS_WORDS)))
+    ok = ok & (~money | (F.size("names") == 0) | text.has_any(c("search_text"), WORKS_WORDS) | on_terms)
+    return pairs.where(ok & F.when(placed, matches_place("search_text", "said")).otherwise(complaint | on_terms))
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
-    """pairs with score and rank: terms in title and text, boosts by type and by what the query names, 10 for the place; newest first, undated last."""
+def ranked(pairs: DataFrame, best: int | None = None) -> DataFrame:
+    """pairs with score and rank: terms in title and text, boosts by type and by what the query names, 10 for the place; newest first, undated last.
+
+    With `best` only so many of each type of a question are ranked, which each task finds
+    for its own rows before the shuffle.
+    """
     c = F.col
-    body, asked = F.lower(F.concat_ws(" ", "title", "text")), F.lower("query")
-    score = F.size(F.filter("all_terms", lambda t: body.contains(t)))
+    asked = F.lower("query")
+    score = F.size(F.filter("all_terms", lambda t: c("body").contains(t)))
     score = score + F.when(c("chunk_type") == "complaint", 8).when(c("chunk_type").isin("work_payment", "tender"), 6).otherwise(0)
     score = score + F.when((c("chunk_type") == "work_payment") & asked.rlike(r"\b(work orders?|payment|paid|bill|contractor)\b"), 8).otherwise(0)
     score = score + F.when((c("chunk_type") == "tender") & asked.rlike(r"\b(tender|tenders|procurement)\b"), 8).otherwise(0)
-    score = score + F.when(matches_place(text.normalize_name(body), c("fields"), c("names"), c("numbers")), 10).otherwise(0)
-    order = Window.partitionBy("case_id").orderBy(F.col("score").desc(), F.col("date").desc_nulls_last(), "source_id", "chunk_key")
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    score = score + F.when(matches_place("body_name", "body_said"), 10).otherwise(0)
+    order = [F.col("score").desc(), F.col("date").desc_nulls_last(), "source_id", "chunk_key"]
+    rows = pairs.withColumn("score", score).drop(*MATCH_COLUMNS)
+    if best is not None:
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "chunk_type").orderBy(*order))).where(F.col("rank") <= best)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
 
 
 def selected(rows: DataFrame, limit: int = MOST_CHUNKS) -> DataFrame:
@@ -153,17 +187,19 @@ def routed_roles(rows: DataFrame) -> DataFrame:
     return rows.where("chunk_type = 'complaint'").select("case_id", F.col("rank").alias("seq"), role.alias("role")).where("role <> '' AND lower(role) NOT IN ('none', 'null', 'nan')")
 
 
-def retrieve(asked: DataFrame, chunks: DataFrame, buckets: DataFrame) -> DataFrame:
-    """All passing chunks of each question, ranked; equal questions are answered once.
+def retrieve(asked: DataFrame, chunks: DataFrame, buckets: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None, best: int | None = None) -> DataFrame:
+    """All passing chunks of each question, ranked; with `best` those that can be among the best so many.
 
-    Questions meet chunks by bucket key only, never row by row.
+    Questions meet chunks by bucket key only, never row by row. Equal questions are
+    answered once: what `then` makes of a question's rows (case_id, rank, ...) goes back
+    to all cases that ask it.
     """
     parts = [c for c in asked.columns if c != "case_id"]
-    keyed = asked.withColumn("_q", F.sha1(F.to_json(F.struct(*parts))))
-    once = keyed.groupBy("_q").agg(*(F.first(c).alias(c) for c in parts)).withColumnRenamed("_q", "case_id")
-    found = candidates(once, buckets).join(chunks, "chunk_key").join(once, "case_id")
-    rows = ranked(filtered(found)).withColumnRenamed("case_id", "_q").drop(*parts)
-    return keyed.join(rows, "_q").drop("_q")
+    keyed = stored(asked.withColumn("_q", F.sha1(F.to_json(F.struct(*parts)))))
+    once = stored(keyed.groupBy("_q").agg(*(F.first(c).alias(c) for c in parts)).withColumnRenamed("_q", "case_id"))
+    rows = ranked(filtered(candidate_rows(once, chunks, buckets)), best).drop(*parts)
+    found = (then(rows) if then else rows).withColumnRenamed("case_id", "_q")
+    return keyed.join(found, "_q").drop("_q")
 
 
 def packet_chunks(packets: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from evidence_jobs.operators.vectors import rank_by_cosine
 from evidence_jobs.queries.case_packets import DETECTED, Q, reach_sql
 from evidence_jobs.queries.registry import any_of, matches, norm, query
 from evidence_jobs.queries.scalars import TOKENS, keys_sql
+from evidence_jobs.sources.stored import stored
 
 WORKS = "SELECT source_id, 'works.csv' AS raw_file, row_number, 'work' AS entity_type, work_id AS record_id, description AS claim, contractor, amount, ward_number, ward_regime FROM {works} UNION ALL SELECT source_id, 'payments.csv', row_number, 'payment', payment_id, payment_reference, contractor, net_amount, ward_number, ward_regime FROM {payments}"
 COMPLAINT_SQL = """SELECT 'complaint|' || source_id || '|' || raw_file || '|' || row_number AS chunk_key, 'complaint' AS chunk_type, source_id, row_number, issue_subcategory || ' complaint' AS title,
@@ -21,7 +22,8 @@ WORK_SQL = f"""SELECT 'work_payment|' || source_id || '|' || raw_file || '|' ||
 C = f"c AS (SELECT *, {norm("title || ' ' || text || ' ' || flat")} AS search_text FROM ({COMPLAINT_SQL} UNION ALL {WORK_SQL}))"
 NAMES = "names AS (SELECT normalized_name AS name FROM {wards} UNION SELECT old_name FROM {mappings} UNION SELECT new_name FROM {mappings})"
 NUMBERS = "numbers AS (SELECT ward_number AS number, normalized_name AS name FROM {wards} UNION SELECT old_ward_number, old_name FROM {mappings} UNION SELECT old_ward_number, new_name FROM {mappings} UNION SELECT new_ward_number, old_name FROM {mappings} UNION SELECT new_ward_number, new_name FROM {mappings})"
-PLACES = "places AS (SELECT chunk_key, name AS place FROM c JOIN names ON contains(' ' || search_text || ' ', ' ' || name || ' ') UNION SELECT chunk_key, name FROM c JOIN numbers ON number = ward)"
+SPOKEN = r"regexp_extract_all(search_text, '\bward\s*(?:no\.?|number)?\s*-?\s*(\d{1,3})\b', 1)"
+PLACES = f"places AS (SELECT chunk_key, name AS place FROM c JOIN names ON contains(' ' || search_text || ' ', ' ' || name || ' ') UNION SELECT chunk_key, name FROM c JOIN numbers ON number = ward UNION SELECT chunk_key, name FROM (SELECT chunk_key, unnest({SPOKEN}) AS said FROM c) JOIN numbers ON number = said)"
 ISSUES = f"issues AS (SELECT chunk_key, unnest(string_split(k, ',')) AS issue FROM (SELECT chunk_key, {keys_sql('search_text')} AS k FROM c) WHERE k <> '')"
 BUCKETS = "buckets AS (SELECT c.chunk_key, c.chunk_type, 'place' AS kind, c.chunk_type || ':place:' || place AS bucket, date FROM places JOIN c ON c.chunk_key = places.chunk_key UNION ALL SELECT c.chunk_key, c.chunk_type, 'issue', c.chunk_type || ':issue:' || issue, date FROM issues JOIN c ON c.chunk_key = issues.chunk_key)"
 ALL = f"{C}, {NAMES}, {NUMBERS}, {PLACES}, {ISSUES}, {BUCKETS}"
@@ -34,6 +36,10 @@ def chunks(d):
     return index.with_search_text(index.union_chunks(index.complaint_chunks(d.complaints), made, made.limit(0)))
 
 
+def indexed(d):
+    return stored(chunks(d))
+
+
 def places(d, rows):
     return index.place_keys(rows, index.place_names(d.wards, d.mappings), index.number_names(d.wards, d.mappings))
 
@@ -79,26 +85,27 @@ def _(d):
 
 @query("jn17_place_keys", f"WITH {ALL} SELECT place, count(*) AS n, sum(hash_sum) AS total FROM (SELECT place, length(chunk_key) AS hash_sum FROM places) GROUP BY 1")
 def _(d):
-    return places(d, chunks(d)).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_key")).alias("total"))
+    return places(d, indexed(d)).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_key")).alias("total"))
 
 
 @query("jn17_buckets", f"WITH {ALL} SELECT bucket, count(*) AS n FROM buckets GROUP BY 1")
 def _(d):
-    return buckets(d, chunks(d)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return buckets(d, indexed(d)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("win06_trim_buckets", f"WITH {ALL} SELECT bucket, count(*) AS n, min(chunk_key) AS first FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY date DESC NULLS LAST, chunk_key) AS r FROM buckets) WHERE kind = 'place' OR r <= 100 GROUP BY 1")
 def _(d):
-    rows = chunks(d)
+    rows = indexed(d)
     dated = buckets(d, rows).join(rows.select("chunk_key", "date"), "chunk_key")
     return index.trim_buckets(dated, 100).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_key").alias("first"))
 
 
 def stats_rows(d):
     """Complaints once per place and once per issue, with both keys."""
-    rows = index.with_search_text(index.complaint_chunks(d.complaints))
-    facts = rows.select("chunk_key", F.col("row_number").alias("seq"), *(F.try_element_at("fields", F.lit(c)).alias(c) for c in ("status", "grievance_date", "external_complaint_id")), F.explode_outer(text.issue_keys(F.col("search_text"))).alias("issue"))
-    return facts.join(places(d, rows), "chunk_key")
+    rows = stored(index.with_search_text(index.complaint_chunks(d.complaints)))
+    facts = {"seq": F.col("row_number"), **{c: F.try_element_at("fields", F.lit(c)) for c in ("status", "grievance_date", "external_complaint_id")}, "issues": text.normalized_issue_keys(F.col("search_text"))}
+    found = index.place_keys(rows.withColumns(facts), index.place_names(d.wards, d.mappings), index.number_names(d.wards, d.mappings), [*index.STATS_COLUMNS, "issues"])
+    return found.withColumn("issue", F.explode_outer("issues")).drop("issues")
 
 
 STATS_ROWS = "SELECT DISTINCT c.chunk_key, c.row_number AS seq, c.status, c.date, c.ext, place, issue FROM c JOIN places p ON p.chunk_key = c.chunk_key LEFT JOIN issues i ON i.chunk_key = c.chunk_key WHERE chunk_type = 'complaint'"
@@ -162,14 +169,14 @@ BASE = f"{Q}, {WIDE}, {REACH2}, {ALL}, {ASKED}, {WANTED}, {PAIRS}"
 
 @query("jn16_candidates", f"WITH RECURSIVE {BASE} SELECT case_id, count(*) AS n FROM pairs GROUP BY 1")
 def _(d):
-    return retrieval.candidates(asked(d), buckets(d, chunks(d))).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    return retrieval.candidates(asked(d), buckets(d, indexed(d))).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def in_any(body: str, terms: str) -> str:
     return f"len(list_filter({terms}, lambda t: contains({body}, t))) > 0"
 
 
-ON_PLACE = "(len(list_filter(names, lambda t: contains(' ' || search_text || ' ', ' ' || t || ' '))) > 0 OR list_contains(nums, ward))"
+ON_PLACE = f"(len(list_filter(names, lambda t: contains(' ' || search_text || ' ', ' ' || t || ' '))) > 0 OR list_contains(nums, ward) OR len(list_intersect({SPOKEN}, nums)) > 0)"
 USEFUL = f"list_filter(all_terms, lambda t: NOT list_contains({retrieval.STOP_TERMS}, t))"
 RULES = f"""(CASE WHEN len(names) > 0 OR len(nums) > 0 THEN {ON_PLACE} ELSE chunk_type = 'complaint' OR {in_any('search_text', USEFUL)} END)
     AND (chunk_type <> 'complaint' OR len(complaint_terms) = 0 OR {in_any('search_text', 'complaint_terms')}) AND (chunk_type = 'complaint' OR len(money_terms) = 0 OR {in_any('search_text', 'money_terms')})
@@ -181,9 +188,9 @@ FOUND = f"found AS (SELECT a.case_id, c.*, keys, names, query, all_terms, {SCORE
 RANKED = f"WITH RECURSIVE {BASE}, {FOUND}"
 
 
-def retrieved(d):
-    rows = chunks(d)
-    return retrieval.retrieve(asked(d), rows, buckets(d, rows))
+def retrieved(d, then=None, best=None):
+    rows = indexed(d)
+    return retrieval.retrieve(asked(d), rows, buckets(d, rows), then, best)
 
 
 @query("flt04_flt05_filtered", f"{RANKED} SELECT case_id, chunk_type, count(*) AS n FROM r GROUP BY 1, 2")
@@ -193,7 +200,7 @@ def _(d):
 
 @query("srt03_ranked", f"{RANKED} SELECT case_id, rank, chunk_key, score FROM r WHERE rank <= 30")
 def _(d):
-    return retrieved(d).where("rank <= 30").select("case_id", "rank", "chunk_key", "score")
+    return retrieved(d, best=30).where("rank <= 30").select("case_id", "rank", "chunk_key", "score")
 
 
 CHOSEN = "sel AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN first THEN CASE chunk_type WHEN 'complaint' THEN 1 ELSE 2 END ELSE 5 END, rank) AS place FROM (SELECT *, min(rank) OVER (PARTITION BY case_id, chunk_type) = rank AS first FROM r))"
@@ -201,17 +208,17 @@ CHOSEN = "sel AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CAS
 
 @query("win05_selected", f"{RANKED}, {CHOSEN} SELECT case_id, place, chunk_key FROM sel WHERE place <= 12")
 def _(d):
-    return retrieval.selected(retrieved(d)).select("case_id", "place", "chunk_key")
+    return retrieved(d, retrieval.selected, retrieval.MOST_CHUNKS).select("case_id", "place", "chunk_key")
 
 
 @query("win07_library", f"{RANKED}, {CHOSEN} SELECT case_id, chunk_type, n, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY case_id, chunk_type ORDER BY place) AS n FROM sel WHERE place <= 12) WHERE n <= 5")
 def _(d):
-    return retrieval.evidence_library(retrieval.selected(retrieved(d))).select("case_id", "chunk_type", "n", "chunk_key")
+    return retrieved(d, lambda rows: retrieval.evidence_library(retrieval.selected(rows)), retrieval.MOST_CHUNKS).select("case_id", "chunk_type", "n", "chunk_key")
 
 
 @query("agg09_answer", f"{RANKED} SELECT a.case_id, complaint_rows, work_payment_rows, latest_record_date, status_counts, example_ids FROM (SELECT case_id, count(*) FILTER (chunk_type = 'complaint') AS complaint_rows, count(*) FILTER (chunk_type = 'work_payment') AS work_payment_rows, max(date) AS latest_record_date FROM r GROUP BY 1) a LEFT JOIN (SELECT case_id, string_agg(status || '=' || n, ',' ORDER BY status) AS status_counts FROM (SELECT case_id, status, count(*) AS n FROM r WHERE chunk_type = 'complaint' AND status <> '' GROUP BY 1, 2) GROUP BY 1) s ON s.case_id = a.case_id LEFT JOIN (SELECT case_id, string_agg(ext, ',' ORDER BY rank) AS example_ids FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS n FROM r WHERE chunk_type = 'complaint') WHERE n <= 5 GROUP BY 1) e ON e.case_id = a.case_id")
 def _(d):
-    return retrieval.extractive_answer(retrieved(d)).select("case_id", "complaint_rows", "work_payment_rows", "latest_record_date", "status_counts", "example_ids")
+    return retrieved(d, retrieval.extractive_answer).select("case_id", "complaint_rows", "work_payment_rows", "latest_record_date", "status_counts", "example_ids")
 
 
 @query("agg10_issue_tracks", f"{RANKED}, sp AS (SELECT r.case_id, r.rank, r.chunk_type, r.ext, i.issue FROM r JOIN issues i ON i.chunk_key = r.chunk_key), wn AS (SELECT case_id, unnest(keys) AS issue FROM a) SELECT wn.case_id, wn.issue, count(sp.chunk_type) AS rows, coalesce(string_agg(DISTINCT sp.chunk_type, ',' ORDER BY sp.chunk_type), '') AS types FROM wn LEFT JOIN sp ON sp.case_id = wn.case_id AND sp.issue = wn.issue GROUP BY 1, 2")
@@ -221,7 +228,7 @@ def _(d):
 
 @query("set02_routed_roles", f"{RANKED} SELECT case_id, string_agg(staff_name, '|' ORDER BY first) AS roles FROM (SELECT case_id, staff_name, min(rank) AS first FROM r WHERE chunk_type = 'complaint' GROUP BY 1, 2) GROUP BY 1")
 def _(d):
-    return packets.ordered_distinct(retrieval.routed_roles(retrieved(d)), "case_id", "role").select("case_id", F.array_join("values", "|").alias("roles"))
+    return retrieved(d, lambda rows: packets.ordered_distinct(retrieval.routed_roles(rows), "case_id", "role")).select("case_id", F.array_join("values", "|").alias("roles"))
 
 
 LANDMARK = f"list_filter({TERM_LIST}, lambda t: length(t) >= 5 AND NOT list_contains({retrieval.LANDMARK_STOPS}, t) AND t <> 'nation')"

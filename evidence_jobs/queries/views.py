@@ -39,7 +39,7 @@ VIEWS = {
                CAST(CAST(o_orderdate AS DATE) AS STRING) AS grievance_date, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS year,
                n_name AS ward_name_raw, LOWER(REPLACE(n_name, '_', ' ')) AS normalized_ward_name,
                CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS status, 'Clerk ' || CAST(c_custkey % 7 AS STRING) AS staff_name,
-               CASE WHEN o_orderkey % 4 = 0 THEN 'street light failing' WHEN o_orderkey % 4 = 1 THEN 'garbage dump' WHEN o_orderkey % 4 = 2 THEN 'flooded road' ELSE 'other' END AS staff_remarks,
+               CASE WHEN o_orderkey % 4 = 0 THEN 'street light failing' WHEN o_orderkey % 4 = 1 THEN 'garbage dump' WHEN o_orderkey % 4 = 2 THEN 'flooded road' ELSE 'other, at WardNo ' || CAST(o_orderkey % 25 AS STRING) END AS staff_remarks,
                'bbmp_grievances_data' AS source_id, 'original/c' || CAST(o_orderkey % 3 AS STRING) || '.csv' AS raw_file, o_orderkey AS row_number
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     "raw_complaints": """
