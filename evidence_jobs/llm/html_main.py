@@ -21,7 +21,7 @@ from xxhash import xxh3_64_intdigest
 from evidence_jobs.llm.common import column, packed, saved, slices, unpacked
 
 #: Bytes of markup that are aligned in one group, about; a larger host has several groups.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 512 << 10
 #: Wrappers up to this many bytes are broadcast; larger tables are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: The content slot holds at least this share of a host's varying text; a constant leaf stands on this share of its different stories, and on so many of them.
