@@ -90,10 +90,6 @@ def stable_evidence_id(entity_type: Column, source_id: Column, row_number: Colum
     return F.concat(F.lit("ev_"), F.when(kind == "", "evidence").otherwise(kind), F.lit("_"), F.substring(F.sha1(key), 1, 16))
 
 
-def snapshot_hash(*values: Column) -> Column:
-    return F.sha2(joined_key(*values), 256)
-
-
 def display_claim(text: Column, limit: int = 180) -> Column:
     """White space collapsed; over the limit cut, with three dots."""
     compact = F.trim(F.regexp_replace(text, r"\s+", " "))

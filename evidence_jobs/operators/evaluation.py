@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,8 +103,11 @@ def retrieval_rollup(scores: DataFrame, key: str | None = None) -> DataFrame:
 def category_rollup(results: DataFrame, first: int = 10) -> DataFrame:
     """Per category of results (category, case_id, failures, tokens): total, passed, failed, rate, tokens, first failures."""
     ok = F.size("failures") == 0
-    failed = F.slice(F.array_sort(F.collect_list(F.when(~ok, F.col("case_id")))), 1, first)
-    out = results.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.sum("tokens").alias("tokens"), F.array_join(failed, ",").alias("first_failures"))
+    order = Window.partitionBy("category").orderBy("case_id")
+    head = results.where(~ok).select("category", "case_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= first)
+    named = head.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("case_id")), ",").alias("first_failures"))
+    facts = results.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("passed"), F.sum("tokens").alias("tokens"))
+    out = facts.join(named, "category", "left").withColumn("first_failures", F.coalesce("first_failures", F.lit("")))
     return out.withColumn("failed", F.col("total") - F.col("passed")).withColumn("rate", F.col("passed") / F.col("total"))
 
 

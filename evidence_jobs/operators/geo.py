@@ -23,23 +23,31 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def resolve_points(points: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
-    """(case_id, feature_idx, source, confidence, others) of the points that a shape holds.
+def point_states(points: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
+    """(case_id, feature_idx, state) of points and the shapes whose box holds them; state is inside, edge or outside.
 
-    points (case_id, lng, lat); boundaries (feature_idx, shape). Inside wins over an
-    edge, then the first feature; 0.97, or 0.90 if several hold the point inside, or 0.88
-    for an edge; others lists the further features. Points meet only shapes whose box
-    covers their grid cell; the exact test runs on these.
+    Points meet boxes by grid cell. Only then is the shape itself joined, once a
+    feature, so that a large shape isn't copied into each of its cells.
     """
-    boxes = bounding_boxes(boundaries).where(F.col("x0").isNotNull())
+    boxes = bounding_boxes(boundaries).where(F.col("x0").isNotNull()).select("feature_idx", "x0", "x1", "y0", "y1")
     spans = (_cell(F.col("x1"), cell) - _cell(F.col("x0"), cell) + 1) * (_cell(F.col("y1"), cell) - _cell(F.col("y0"), cell) + 1)
     cells = boxes.where(spans <= MOST_CELLS).withColumn("cx", F.explode(F.sequence(_cell(F.col("x0"), cell), _cell(F.col("x1"), cell)))).withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell), _cell(F.col("y1"), cell))))
     in_box = F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
     placed = points.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
-    columns = ["case_id", "lng", "lat", "feature_idx", "shape"]
-    near = placed.join(dictionary(cells.select("feature_idx", "shape", "x0", "x1", "y0", "y1", "cx", "cy")), ["cx", "cy"]).where(in_box).select(*columns)
-    huge = points.join(F.broadcast(boxes.where(spans > MOST_CELLS)), in_box).select(*columns)
-    tested = near.unionByName(huge).withColumn("state", point_state(F.col("lng"), F.col("lat"), F.col("feature_idx"), F.col("shape"))).where("state <> 'outside'")
+    near = placed.join(dictionary(cells), ["cx", "cy"]).where(in_box).select("case_id", "lng", "lat", "feature_idx")
+    huge = points.join(dictionary(boxes.where(spans > MOST_CELLS)), in_box).select("case_id", "lng", "lat", "feature_idx")
+    shaped = near.unionByName(huge).join(dictionary(boundaries.select("feature_idx", "shape")), "feature_idx")
+    return shaped.select("case_id", "feature_idx", point_state(F.col("lng"), F.col("lat"), F.col("feature_idx"), F.col("shape")).alias("state"))
+
+
+def resolve_points(points: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
+    """(case_id, feature_idx, source, confidence, others) of the points that a shape holds.
+
+    points (case_id, lng, lat); boundaries (feature_idx, shape). Inside wins over an
+    edge, then the first feature; 0.97, or 0.90 if several hold the point inside, or 0.88
+    for an edge; others lists the further features.
+    """
+    tested = point_states(points, boundaries, cell).where("state <> 'outside'")
     rank = F.struct(F.when(F.col("state") == "inside", 0).otherwise(1).alias("s"), "feature_idx")
     best = tested.groupBy("case_id").agg(F.min(rank).alias("b"), F.count_if(F.col("state") == "inside").alias("inside"), F.array_sort(F.collect_list("feature_idx")).alias("all"))
     edge = F.col("b.s") == 1
@@ -55,9 +63,3 @@ def best_boundary_file(files: DataFrame) -> DataFrame:
     rank = F.when(F.col("placemarks") == 369, 0).when(F.col("placemarks") == 368, 1).otherwise(2)
     best = usable.agg(F.min_by(F.struct("run_id", "raw_file", "placemarks"), F.struct(rank.alias("r"), "run_id", "raw_file")).alias("f"))
     return best.where("f IS NOT NULL").select("f.*")
-
-
-def ranked_features(hits: DataFrame) -> DataFrame:
-    """All holding features of a point in order, for callers that show alternatives."""
-    order = Window.partitionBy("case_id").orderBy(F.when(F.col("state") == "inside", 0).otherwise(1), "feature_idx")
-    return hits.withColumn("rank", F.row_number().over(order))

@@ -49,8 +49,11 @@ def match_records(cases: DataFrame, records: DataFrame) -> DataFrame:
     by_ward = records.join(dictionary(q), F.col("q_ward") == F.col("ward_number")).where((F.col("q_ward") != "") & regimes_compatible(F.col("q_regime"), F.col("ward_regime")))
     wanted = F.array_distinct(F.filter(F.concat(F.array("place"), "terms"), lambda t: t.isNotNull() & (t != "")))
     phrases = q.select("question", F.explode(wanted).alias("phrase")).where("phrase <> ''")
-    spoken = phrases.select("phrase").distinct()
-    mentions = records.join(F.broadcast(spoken), F.col("text").contains(F.col("phrase")))
+    # A phrase in a text begins in one of its words: at the word's end if more words follow. So phrases meet the vocabulary, and records meet phrases by word.
+    words, head = F.explode(F.array_distinct(F.split("text", " "))), F.split("phrase", " ")
+    begins = F.when(F.size(head) > 1, F.col("word").endswith(F.element_at(head, 1))).otherwise(F.col("word").contains(F.col("phrase")))
+    meets = records.select(words.alias("word")).distinct().join(dictionary(phrases.select("phrase").distinct()), begins)
+    mentions = records.withColumn("word", words).join(dictionary(meets), "word").where(F.col("text").contains(F.col("phrase"))).drop("word")
     by_text = mentions.join(dictionary(phrases), "phrase").drop("phrase").join(dictionary(q), "question")
 
     gate = routing.issue_match(F.col("intent"), F.col("match_terms"), F.col("text"))
@@ -77,5 +80,5 @@ def match_channels(cases: DataFrame, channels: DataFrame) -> DataFrame:
     """(case_id, channel_id, match_method, confidence): channels of a case's agency, else those that list its issue type."""
     agency = F.coalesce((F.col("agency_id") != "") & (F.col("agency_id") == F.col("channel_agency")), F.lit(False))
     listed = F.array_contains("issue_types", F.col("issue_type"))
-    c = F.broadcast(channels.select("channel_id", F.col("agency_id").alias("channel_agency"), "issue_types"))
+    c = dictionary(channels.select("channel_id", F.col("agency_id").alias("channel_agency"), "issue_types"))
     return cases.join(c, agency | listed).select("case_id", "channel_id", F.when(agency, "primary_agency_channel").otherwise("issue_type_channel").alias("match_method"), F.lit(0.82).alias("confidence"))

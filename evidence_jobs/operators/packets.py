@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import policy, privacy
+from evidence_jobs.operators.places import dictionary
 
 POLICY_COLUMNS = ["domain", "official_status", "access_method", "pii_risk", "enabled"]
 
@@ -21,7 +22,7 @@ def source_policies(registry: DataFrame) -> DataFrame:
 def with_provenance(evidence: DataFrame, policies: DataFrame, text_columns: list[str]) -> DataFrame:
     """evidence with its source's policy (unknown sources get a fixed default), pii_status and publishable."""
     personal = privacy.has_personal(F.to_json(F.struct(*text_columns)))
-    joined = evidence.join(F.broadcast(policies), "source_id", "left")
+    joined = evidence.join(dictionary(policies), "source_id", "left")
     default = lambda c, value: F.coalesce(c, F.lit(value)).alias(c)
     kept = [c for c in evidence.columns if c != "source_id"]
     return joined.select("source_id", *kept, default("source_tier", "tier_unknown"), default("license", "unknown"), default("claim_eligibility", "unknown"), default("cadence_days", 0), F.when(personal, "contains_pii_block_public_output").otherwise("redacted_or_absent").alias("pii_status"), (~personal).alias("publishable"))

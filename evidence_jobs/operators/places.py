@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from evidence_jobs.functions.text import normalize_name
 
-#: Wards, mappings and place lists are dictionaries; one larger than this is not broadcast.
-DICTIONARY_ROWS = 1_000_000
+#: Wards, mappings and place lists are dictionaries; one larger than this, in rows or as bytes of JSON, is not broadcast.
+DICTIONARY_ROWS, DICTIONARY_BYTES = 1_000_000, 128 << 20
 #: Lenses that a grid has by default: label, first year, last year.
 LENSES = [("all", None, None), ("recent", 1998, None), ("single", 1997, 1997)]
 
 
 def dictionary(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is small enough, by a count that stops at the limit."""
-    return F.broadcast(df) if df.limit(DICTIONARY_ROWS + 1).count() <= DICTIONARY_ROWS else df
+    """df marked for broadcast if it is small enough, by rows and bytes that are counted up to the limit."""
+    rows, size = df.limit(DICTIONARY_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= DICTIONARY_ROWS and size <= DICTIONARY_BYTES else df
 
 
 def name_score(name: Column, query: Column) -> Column:

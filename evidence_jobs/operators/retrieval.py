@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidence_jobs.functions import privacy, text
 from evidence_jobs.operators.index import WARD_FIELDS
 from evidence_jobs.operators.places import dictionary
+from evidence_jobs.operators.vectors import rank_by_cosine
 from evidence_jobs.sources.stored import stored
 
 #: Rows retrieved for a question, and their types in the order that comes first.
@@ -202,13 +203,11 @@ def retrieve(asked: DataFrame, chunks: DataFrame, buckets: DataFrame, then: Call
     return keyed.join(found, "_q").drop("_q")
 
 
-def packet_chunks(packets: DataFrame) -> DataFrame:
-    """Packets (packet_id, issue_type, evidence array, citations array) as chunks: evidence with id and text, and jurisdiction citations; redacted."""
-    e = packets.select("packet_id", "issue_type", F.posexplode("evidence").alias("pos", "e")).where("e.evidence_id <> '' AND e.claim <> ''")
-    one = e.select("packet_id", "issue_type", "pos", F.col("e.evidence_id").alias("chunk_id"), F.col("e.entity_type").alias("entity_type"), privacy.redact(F.col("e.claim")).alias("text"), F.col("e.claim_class").alias("claim_class"), F.col("e.disallowed").alias("disallowed"), F.col("e.label").alias("label"))
-    c = packets.select("packet_id", "issue_type", F.posexplode("citations").alias("pos", "c")).where(F.col("c.id").startswith("jurisdiction"))
-    two = c.select(
-        "packet_id", "issue_type", (F.col("pos") + 1_000_000).alias("pos"), F.col("c.id").alias("chunk_id"), F.lit("jurisdiction").alias("entity_type"), F.concat(F.lit("Jurisdiction evidence from "), F.coalesce("c.source_id", F.lit("unknown source")), F.lit(".")).alias("text"),
+def packet_chunks(evidence: DataFrame, citations: DataFrame) -> DataFrame:
+    """Evidence rows (packet_id, issue_type, pos, evidence_id, entity_type, claim, claim_class, disallowed, label) with id and text, and jurisdiction citations (packet_id, issue_type, pos, id, source_id), as chunks; redacted."""
+    one = evidence.where("evidence_id <> '' AND claim <> ''").select("packet_id", "issue_type", "pos", F.col("evidence_id").alias("chunk_id"), "entity_type", privacy.redact(F.col("claim")).alias("text"), "claim_class", "disallowed", "label")
+    two = citations.where(F.col("id").startswith("jurisdiction")).select(
+        "packet_id", "issue_type", (F.col("pos") + 1_000_000_000_000).alias("pos"), F.col("id").alias("chunk_id"), F.lit("jurisdiction").alias("entity_type"), F.concat(F.lit("Jurisdiction evidence from "), F.coalesce("source_id", F.lit("unknown source")), F.lit(".")).alias("text"),
         F.lit("jurisdiction_context").alias("claim_class"), F.lit("Does not prove field condition or legal ownership for the exact issue.").alias("disallowed"), F.lit("").alias("label"),
     )
     return one.unionByName(two)
@@ -223,9 +222,13 @@ def eligible(chunks: DataFrame) -> DataFrame:
 
 
 def filter_audit(chunks: DataFrame) -> DataFrame:
-    """Per packet: candidate, eligible and rejected counts, and the rejected ids in order."""
-    ids = F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("pos", "chunk_id")))), lambda x: x["chunk_id"])
-    return chunks.groupBy("packet_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("ok").alias("eligible"), F.count_if(~F.col("ok")).alias("rejected"), F.array_join(ids, ",").alias("rejected_ids"))
+    """Per packet: candidate, eligible and rejected counts."""
+    return chunks.groupBy("packet_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("ok").alias("eligible"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+def rejected_chunks(chunks: DataFrame) -> DataFrame:
+    """(packet_id, pos, chunk_id) of the chunks that are not eligible, a row each, however many a packet has."""
+    return chunks.where(~F.col("ok")).select("packet_id", "pos", "chunk_id")
 
 
 def lexical_rank(chunks: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
@@ -237,3 +240,15 @@ def lexical_rank(chunks: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
     score = score + F.when((F.col("entity_type") == "jurisdiction") & ~public, 0.5).otherwise(0.0)
     order = Window.partitionBy("packet_id").orderBy(F.col("score").desc(), "pos")
     return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("packet_id", "chunk_id", "rank", "score")
+
+
+def embedding_or_lexical(chunks: DataFrame, asked: DataFrame, vectors: DataFrame, top_k: int) -> DataFrame:
+    """(packet_id, chunk_id, rank, score, embedding_used): by cosine where the question and all eligible chunks of its packet have a vector, else by common words.
+
+    asked (packet_id, question, query_vector); vectors (packet_id, chunk_id, vector).
+    """
+    rows = chunks.where("ok").select("packet_id", "chunk_id").join(vectors, ["packet_id", "chunk_id"], "left")
+    near = rank_by_cosine(asked.select(F.col("packet_id").alias("query_id"), "packet_id", "query_vector"), rows, "packet_id", top_k)
+    near = near.select(F.col("query_id").alias("packet_id"), "chunk_id", "rank", F.col("similarity").alias("score"), F.lit(True).alias("embedding_used"))
+    rest = asked.join(near.select("packet_id").distinct(), "packet_id", "left_anti")
+    return near.unionByName(lexical_rank(chunks, rest, top_k).withColumn("embedding_used", F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import routing
-from evidence_jobs.functions.geometry import MULTIPOLYGON, point_state
+from evidence_jobs.functions.geometry import MULTIPOLYGON
 from evidence_jobs.operators import geo, matching, packets, resolve
 from evidence_jobs.queries.registry import any_of, matches, norm, query
 from evidence_jobs.queries.scalars import ELIGIBLE, ISSUE_SQL, rank_sql
@@ -111,10 +111,9 @@ def _(d):
     return found.select("case_id", "feature_idx", "source", "confidence", F.size("others").cast("long").alias("others"))
 
 
-@query("fn21_point_state", f"SELECT c.case_id, CASE WHEN t.inside THEN 'inside' WHEN t.case_id IS NOT NULL THEN 'edge' ELSE 'outside' END AS state FROM ({POINTS}) c LEFT JOIN (SELECT * FROM ({TESTED}) WHERE feature_idx = 7) t ON t.case_id = c.case_id")
+@query("fn21_point_state", f"SELECT case_id, feature_idx, CASE WHEN inside THEN 'inside' ELSE 'edge' END AS state FROM ({TESTED})")
 def _(d):
-    one = F.broadcast(shapes(d).where("feature_idx = 7"))
-    return d.spark.sql(POINTS, customer=d.customer).crossJoin(one).select("case_id", point_state(F.col("lng"), F.col("lat"), F.col("feature_idx"), F.col("shape")).alias("state"))
+    return geo.point_states(d.spark.sql(POINTS, customer=d.customer), shapes(d), cell=0.5).where("state <> 'outside'").select("case_id", "feature_idx", "state")
 
 
 @query("srt04_boundary_file", "SELECT run_id, raw_file, placemarks FROM (SELECT *, row_number() OVER (ORDER BY CASE placemarks WHEN 369 THEN 0 WHEN 368 THEN 1 ELSE 2 END, run_id, raw_file) AS r FROM (SELECT run_id, status, 'a' || event_id || '.kml' AS raw_file, 300 + event_id % 70 AS placemarks FROM {runs}) WHERE status = 'success') WHERE r = 1")

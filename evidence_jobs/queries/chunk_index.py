@@ -248,21 +248,27 @@ PACKET_ROWS = """SELECT source AS packet_id, doc_id AS pos, CASE doc_id % 4 WHEN
 ELIGIBLE_SQL = "claim_class <> 'not_public_output' AND (NOT contains(lower(disallowed), 'private') OR contains(lower(disallowed), 'public context')) AND NOT (issue_type = 'power' AND entity_type = 'work')"
 
 
-def packet_table(d):
+def packet_tables(d):
+    """Evidence rows and citations of the packets."""
     rows = d.spark.sql(PACKET_ROWS, documents=d.documents)
-    e = F.struct(F.concat(F.lit("d"), "pos").alias("evidence_id"), "entity_type", F.col("text").alias("claim"), "claim_class", "disallowed", "label")
-    grouped = rows.groupBy("packet_id", "issue_type").agg(F.array_sort(F.collect_list(F.struct("pos", e.alias("e")))).alias("l"))
-    return grouped.select("packet_id", "issue_type", F.transform("l", lambda x: x["e"]).alias("evidence"), F.array(F.struct(F.lit("jurisdiction-1").alias("id"), F.col("packet_id").alias("source_id"))).alias("citations"))
+    evidence = rows.withColumn("evidence_id", F.concat(F.lit("d"), "pos")).withColumnRenamed("text", "claim")
+    cited = rows.select("packet_id", "issue_type").distinct().select("packet_id", "issue_type", F.lit(0).cast("long").alias("pos"), F.lit("jurisdiction-1").alias("id"), F.col("packet_id").alias("source_id"))
+    return evidence, cited
 
 
 @query("prj12_packet_chunks", f"SELECT packet_id, 'd' || pos AS chunk_id, entity_type FROM ({PACKET_ROWS}) WHERE text <> '' UNION ALL SELECT DISTINCT source, 'jurisdiction-1', 'jurisdiction' FROM documents")
 def _(d):
-    return retrieval.packet_chunks(packet_table(d)).select("packet_id", "chunk_id", "entity_type")
+    return retrieval.packet_chunks(*packet_tables(d)).select("packet_id", "chunk_id", "entity_type")
 
 
 @query("flt03_filter_audit", f"WITH t AS (SELECT packet_id, {ELIGIBLE_SQL} AS ok FROM ({PACKET_ROWS}) WHERE text <> '' UNION ALL SELECT DISTINCT source, true FROM documents) SELECT packet_id, count(*) AS candidates, count(*) FILTER (ok) AS eligible, count(*) FILTER (NOT ok) AS rejected FROM t GROUP BY 1")
 def _(d):
-    return retrieval.filter_audit(retrieval.eligible(retrieval.packet_chunks(packet_table(d)))).drop("rejected_ids")
+    return retrieval.filter_audit(retrieval.eligible(retrieval.packet_chunks(*packet_tables(d))))
+
+
+@query("flt03_rejected", f"SELECT packet_id, pos, 'd' || pos AS chunk_id FROM ({PACKET_ROWS}) WHERE text <> '' AND NOT ({ELIGIBLE_SQL})")
+def _(d):
+    return retrieval.rejected_chunks(retrieval.eligible(retrieval.packet_chunks(*packet_tables(d))))
 
 
 ASK = "'the and that que inheo'"
@@ -270,7 +276,7 @@ ASK = "'the and that que inheo'"
 
 @query("win10_lexical_rank", f"WITH t AS (SELECT packet_id, 'd' || pos AS chunk_id, row_number() OVER (PARTITION BY packet_id ORDER BY pos) AS o, len(list_intersect(list_distinct({TOKENS}), ['the', 'and', 'that', 'que', 'inheo'])) + CASE WHEN label LIKE 'Direct%' THEN 4 WHEN label LIKE 'Related%' THEN 1 ELSE 0 END AS score FROM ({PACKET_ROWS}) WHERE text <> '' AND {ELIGIBLE_SQL}) SELECT packet_id, chunk_id, rank, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY score DESC, o) AS rank FROM t) WHERE rank <= 6")
 def _(d):
-    rows = retrieval.eligible(retrieval.packet_chunks(packet_table(d)))
+    rows = retrieval.eligible(retrieval.packet_chunks(*packet_tables(d)))
     return retrieval.lexical_rank(rows, rows.select("packet_id", F.expr(ASK).alias("question")).distinct(), 6)
 
 

@@ -19,16 +19,16 @@ WARD_TEXT = "CASE l_orderkey % 4 WHEN 0 THEN CAST(l_orderkey AS STRING) || ' - '
 
 @query(
     "fn02_split_number",
-    f"""WITH t AS (SELECT DISTINCT l_orderkey, {WARD_TEXT} AS v FROM lineitem WHERE l_linenumber = 1)
-    SELECT l_orderkey, v, regexp_extract(v, '^(\\d+)\\s*[-:]\\s*(.+)$', 1) AS number,
+    f"""WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, {WARD_TEXT} AS v FROM lineitem)
+    SELECT l_orderkey, l_linenumber, v, regexp_extract(v, '^(\\d+)\\s*[-:]\\s*(.+)$', 1) AS number,
       CASE WHEN regexp_matches(v, '^(\\d+)\\s*[-:]\\s*(.+)$') THEN trim(regexp_extract(v, '^(\\d+)\\s*[-:]\\s*(.+)$', 2)) ELSE v END AS name,
       CASE WHEN regexp_matches(v, '^(\\d+)\\s*[-:]\\s*(.+)$') THEN regexp_extract(v, '^(\\d+)\\s*[-:]\\s*(.+)$', 1) WHEN contains(v, ' - ') THEN trim(split_part(v, ' - ', 1)) ELSE '' END AS lookup_number
     FROM t""",
 )
 def _(d):
-    rows = d.lineitem.where("l_linenumber = 1").select("l_orderkey", F.expr(WARD_TEXT).alias("v")).distinct()
+    rows = d.lineitem.select("l_orderkey", "l_linenumber", F.expr(WARD_TEXT).alias("v")).distinct()
     both = text.split_ward_number(F.col("v"))
-    return rows.select("l_orderkey", "v", both["number"].alias("number"), both["name"].alias("name"), text.split_number_name(F.col("v"))["number"].alias("lookup_number"))
+    return rows.select("l_orderkey", "l_linenumber", "v", both["number"].alias("number"), both["name"].alias("name"), text.split_number_name(F.col("v"))["number"].alias("lookup_number"))
 
 
 DATE_TEXT = """CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 10:20:30.123'

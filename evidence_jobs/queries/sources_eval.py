@@ -196,9 +196,15 @@ def _(d):
     return evaluation.failure_term_rate(suite(d).withColumnRenamed("category", "run_id"), "min_evidence").select("run_id", F.round("rate", 6).alias("rate"))
 
 
-@query("agg22_failure_prefixes", "SELECT source AS run_id, 'min_evidence_rows' AS prefix, count(*) AS n FROM documents WHERE doc_id % 4 = 0 GROUP BY 1")
+PREFIXES = {
+    "expected_place": "case_id % 6 = 0", "min_evidence_rows": "case_id % 4 = 0", "max_evidence_rows": "case_id % 5 = 0", "missing_evidence_text": "case_id % 10 = 0", "forbidden_evidence_text": "case_id % 11 = 0",
+    "missing_freshness_disclosure": "case_id % 8 = 0 AND case_id % 9 <> 0", "expected_abstention": "case_id % 7 = 0",
+}
+
+
+@query("agg22_failure_prefixes", " UNION ALL ".join(f"SELECT source AS run_id, '{k}' AS prefix, count(*) AS n FROM (SELECT source, doc_id AS case_id FROM documents) WHERE {v} GROUP BY 1" for k, v in PREFIXES.items()))
 def _(d):
-    return evaluation.failure_prefixes(suite(d).withColumnRenamed("category", "run_id")).where("prefix = 'min_evidence_rows'")
+    return evaluation.failure_prefixes(suite(d).withColumnRenamed("category", "run_id"))
 
 
 @query("fn25_source_policy", f"SELECT id, {ELIGIBLE} AS eligibility FROM {{registry}}")
