@@ -18,11 +18,9 @@ from evidence_jobs.llm.common import column, saved, slices
 
 #: Pieces that one partition packs at a time, and rounds of exchange at most.
 PART_PIECES, ROUNDS = 50_000, 4
-#: Entries of a task's cache of word ids; it starts anew when full.
-CACHE = 50_000
 #: The byte-level pre-tokens of the vocabulary file (a fixed value of its format).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters alone, with single spaces, are encoded word by word; others go to the tokenizer whole.
+#: Texts of these characters alone, with single spaces, take the quick way to the same ids; others go to the tokenizer.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\u024F\u2010-\u2027]*")
 
 
@@ -33,7 +31,7 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _word_encoder(path: str):
+def _quick_encoder(path: str):
     """Ids of a text by the same merges, without the tokenizer's bookkeeping; None if the file is of another kind."""
     import tiktoken
 
@@ -47,34 +45,23 @@ def _word_encoder(path: str):
         return None
     names, special = _byte_names(), {t["content"] for t in parsed.get("added_tokens", [])}
     ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-    return tiktoken.Encoding("words", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("words", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
 def _encoder(path: str):
     """A function from text to its ids as little-endian unsigned 32-bit bytes.
 
-    A space between two other characters starts a pre-token, so a text with single
-    spaces falls into words whose ids don't hang on each other; frequent ones are kept.
     Each task makes its own, so that a worker holds nothing of it afterwards.
     """
     from tokenizers import Tokenizer
 
-    tokenizer, word_ids, known = Tokenizer.from_file(path), _word_encoder(path), {}
-    as_bytes = lambda ids: np.array(ids, dtype="<u4").tobytes()
+    tokenizer, quick_ids = Tokenizer.from_file(path), _quick_encoder(path)
 
     def encode(text: str) -> bytes:
-        if word_ids is None or "<|" in text or "  " in text or text[-1:] == " " or not PLAIN.fullmatch(text):
-            return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        out = [as_bytes(word_ids(first))]
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[word] = as_bytes(word_ids(" " + word))
-            out.append(ids)
-        return b"".join(out)
+        if quick_ids is None or "<|" in text or "  " in text or text[-1:] == " " or not PLAIN.fullmatch(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return quick_ids(text).astype("<u4").tobytes()
 
     return encode
 
