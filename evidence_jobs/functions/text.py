@@ -60,7 +60,7 @@ def clean_markup(value: Column) -> Column:
 
 
 def clean_text(value: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(value, "</a>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(value, F.lit("</a>"), F.lit(" ")), r"\s+", " "))
 
 
 def first_value(*values: Column) -> Column:

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_jobs.functions import privacy
+from evidence_jobs.operators.packets import faithful
+
+# Parts of an explanation, and words that make a caveat.
+EXPLANATION_KEYS = ["answer", "what_the_packet_says", "why_this_agency", "what_to_cite", "what_not_to_claim", "refusal", "citations", "audit"]
+CAVEATS = ["does not prove", "not proof", "cannot", "no normalized", "not live"]
+
 
 def required_cases(rows: DataFrame, field: str = "query") -> DataFrame:
     """Suite rows; an error if one lacks the required field."""
@@ -57,6 +64,34 @@ def case_failures(joined: DataFrame) -> DataFrame:
     return joined.withColumns({"abstained": abstained, "disclosed": disclosed, "failures": F.concat(single, held, last)})
 
 
+def answer_failures(joined: DataFrame) -> DataFrame:
+    """Cases joined to explanations, with `failures`, in fixed order.
+
+    Case columns: must_contain, forbidden, forbidden_new_fact_contains,
+    expected_refusal_status, requires_caveat, requires_existing_citations. Explanation
+    columns: present_keys array, rendered (the whole as text), public_text, caveat_text,
+    used_raw_scan, used_packet_only, used_private_data, refusal_status, cited array, and
+    the packet's own citation ids as allowed array. Null flags count as false.
+    """
+    c, on = F.col, lambda name: F.coalesce(F.col(name), F.lit(False))
+    caveat = F.lower(F.coalesce("caveat_text", F.lit("")))
+    has_caveat = F.exists(F.array(*map(F.lit, CAVEATS)), lambda w: caveat.contains(w))
+    absent = F.array_except(F.array(*map(F.lit, EXPLANATION_KEYS)), F.coalesce("present_keys", _none()))
+    rules = [
+        F.when(on("used_raw_scan"), "used_raw_scan"), F.when(~on("used_packet_only"), "not_packet_only"), F.when(on("used_private_data"), "used_private_data"), F.when(privacy.has_personal(c("public_text")), "pii_leak"),
+        expected_equal("expected_refusal_status", c("expected_refusal_status"), c("refusal_status")), F.when(on("requires_caveat") & ~has_caveat, "missing_caveat"),
+        F.when(on("requires_existing_citations") & ~faithful(F.coalesce("cited", _none()), F.coalesce("allowed", _none())), "unfaithful_citation"),
+    ]
+    terms = [missing_texts("missing_term", c("must_contain"), c("rendered")), missing_texts("forbidden_term", c("forbidden"), c("rendered"), True), missing_texts("new_fact_term", c("forbidden_new_fact_contains"), c("rendered"), True)]
+    keys = F.transform(absent, lambda k: F.concat(F.lit("missing_explanation_key="), k))
+    return joined.withColumn("failures", F.concat(keys, *terms, F.filter(F.array(*rules), lambda x: x.isNotNull())))
+
+
+def with_leaks(rows: DataFrame) -> DataFrame:
+    """rows with pii_leak: their public text holds personal data."""
+    return rows.withColumn("pii_leak", privacy.has_personal(F.col("public_text")))
+
+
 def packet_metrics(rows: DataFrame) -> DataFrame:
     """Rates over cases, each with its own denominator and what it is without one, and the release gate.
 

@@ -105,7 +105,8 @@ def place_keys(chunks: DataFrame, names: DataFrame, numbers: DataFrame, keep: li
     entries = F.map_entries("fields")
     exact = F.transform(F.filter(entries, lambda e: F.lower(e["key"]).isin(*WARD_FIELDS)), lambda e: F.trim(e["value"]))
     near = F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]).contains("ward")), lambda e: e["value"]), " | ")
-    said = F.concat(exact, F.regexp_extract_all(near, F.lit(r"\b\d{1,3}\b"), F.lit(0)), text.spoken_ward_numbers(F.col("search_text")))
+    spoken = F.when(F.col("search_text").contains("ward"), text.spoken_ward_numbers(F.col("search_text"))).otherwise(F.array().cast("array<string>"))
+    said = F.concat(exact, F.regexp_extract_all(near, F.lit(r"\b\d{1,3}\b"), F.lit(0)), spoken)
     words = F.split("name", " ")
     first = names.where(F.size(words) <= PLACE_WORDS).select(F.element_at(words, 1).alias("token"), F.col("name").alias("place"))
     in_text = chunks.select(*keep, "search_text", F.explode(F.split("search_text", " ")).alias("token")).join(dictionary(first), "token").where(text.contains_phrase(F.col("search_text"), F.col("place")))

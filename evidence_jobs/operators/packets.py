@@ -125,6 +125,39 @@ def contract_claims(complaint_rows: Column, latest: Column, work_rows: Column, t
     return F.when(F.size(every) > 0, every).otherwise(F.array(claim(lit("No row-level evidence matched this query."), "gap", "gap")))
 
 
+def answer_contract(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(case_id, answer_type, confidence_label, gaps, claims) of every question with landmarks, from the facts of its rows; a question without rows has none."""
+    c, n = F.col, lambda name: F.coalesce(F.col(name), F.lit(0))
+    works, tenders, complaints = n("work_payment_rows"), n("tender_rows"), n("complaint_rows")
+    low, places = F.lower("query"), F.size("names")
+    gaps = coverage_gaps(
+        places, F.size("landmark") > 0, F.coalesce("on_landmark", F.lit(False)), c("needs_money"), low.contains("tender"), c("wants_complaints"), works, tenders, complaints, complaints + works + tenders + n("streetlight_asset_rows")
+    )
+    rows = asked.join(facts, "case_id", "left").withColumn("gaps", gaps)
+    claims = contract_claims(complaints, c("latest_record_date"), works, tenders, c("needs_money"), F.lit(True), low.rlike(r"\b(live|current|today|status|fresh|latest)\b"), c("gaps"))
+    label = answer_confidence(places, complaints + works + tenders, c("gaps"))
+    return rows.select("case_id", answer_type(complaints, works + tenders, c("gaps")).alias("answer_type"), label.alias("confidence_label"), "gaps", claims.alias("claims"))
+
+
+def numbered(prefix: str, n: Column) -> Column:
+    """prefix-1 to prefix-n."""
+    count = F.coalesce(n, F.lit(0)).cast("int")
+    ids = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit(f"{prefix}-"), i.cast("string")))
+    return F.when(count > 0, ids).otherwise(F.array().cast("array<string>"))
+
+
+def packet_claims(located: Column, evidence: Column, channels: Column, guidance: Column) -> Column:
+    """array of struct(claim_type, text, citation_ids): what a packet claims from its ward, its evidence rows and its channels; else where to file."""
+    claim = lambda when, kind, words, ids: F.when(when, F.struct(F.lit(kind).alias("claim_type"), words.alias("text"), ids.alias("citation_ids")))
+    some = F.array(
+        claim(located, "jurisdiction", F.lit("The place was resolved to a ward."), numbered("jurisdiction", F.lit(1))),
+        claim(F.size(evidence) > 0, "public_work_or_payment", F.lit("Normalized public work/payment rows matched this question."), evidence),
+        claim(F.size(channels) > 0, "contact", F.lit("Official complaint/contact channel metadata is available."), channels),
+    )
+    held = F.filter(some, lambda x: x.isNotNull())
+    return F.when(F.size(held) > 0, held).otherwise(F.array(claim(F.lit(True), "coverage_gap", guidance, numbered("none", F.lit(0)))))
+
+
 # What a packet must hold, and the values of its enums.
 PACKET_STATUSES = ["ready", "insufficient_structured_evidence"]
 STRENGTHS = ["none", "weak", "public_row", "official_lookup"]

@@ -128,6 +128,8 @@ def ranked(pairs: DataFrame, best: int | None = None) -> DataFrame:
     score = score + F.when((c("chunk_type") == "tender") & asked.rlike(r"\b(tender|tenders|procurement)\b"), 8).otherwise(0)
     score = score + F.when(matches_place("body_name", "body_said"), 10).otherwise(0)
     order = [F.col("score").desc(), F.col("date").desc_nulls_last(), "source_id", "chunk_key"]
+    if "landmark" in pairs.columns:
+        pairs = pairs.withColumn("on_landmark", any_term(c("body_name"), c("landmark")))
     rows = pairs.withColumn("score", score).drop(*MATCH_COLUMNS)
     if best is not None:
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "chunk_type").orderBy(*order))).where(F.col("rank") <= best)
@@ -155,6 +157,13 @@ def landmark_terms(query: Column, place_names: Column) -> Column:
     return F.array_except(words, F.flatten(F.transform(place_names, lambda n: F.split(n, " "))))
 
 
+def with_landmarks(asked: DataFrame, detected: DataFrame) -> DataFrame:
+    """questions with `landmark`: the words of a query that may name one, without those of its detected places (case_id, name)."""
+    named = detected.groupBy("case_id").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    out = asked.join(named, "case_id", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
+    return out.withColumn("landmark", landmark_terms(F.col("query"), F.col("_names"))).drop("_names")
+
+
 def match_strength(landmark: Column, issue: Column, place: Column) -> Column:
     return (
         F.when(landmark & issue, "strong").when(issue & place, "area/ward-level").when(place, "weak-area-context").when(issue, "issue-only").otherwise("source-context")
@@ -162,8 +171,9 @@ def match_strength(landmark: Column, issue: Column, place: Column) -> Column:
 
 
 def extractive_answer(rows: DataFrame) -> DataFrame:
-    """Per case: rows of each type, latest complaint date, status counts as text, first complaint ids."""
+    """Per case: rows of each type, latest complaint date, status counts as text, first complaint ids; if the rows tell, whether one is on a landmark."""
     kinds = [F.count_if(F.col("chunk_type") == t).alias(f"{t}_rows") for t in TYPES]
+    kinds += [F.bool_or("on_landmark").alias("on_landmark")] if "on_landmark" in rows.columns else []
     complaint = F.col("chunk_type") == "complaint"
     facts = rows.groupBy("case_id").agg(*kinds, F.max(F.when(complaint, F.col("date"))).alias("latest_record_date"))
     status = rows.where(complaint).select("case_id", F.try_element_at("fields", F.lit("status")).alias("s")).where("s <> ''").groupBy("case_id", "s").agg(F.count(F.lit(1)).alias("n"))
