@@ -7,6 +7,7 @@ from evidence_jobs.functions.geometry import MULTIPOLYGON
 from evidence_jobs.functions.text import _place_terms
 from evidence_jobs.operators import evaluation, geo, index, monitor, normalize, packets, places
 from evidence_jobs.operators.retrieval import lexical_rank
+from evidence_jobs.plans import jobs
 
 
 def values(spark, column):
@@ -141,3 +142,51 @@ def test_retrieval_scores_count_a_rank_once(spark):
     qrels = spark.createDataFrame([(1, "g", ["a", "x", "c"], ["b"]), (2, "g", [], []), (3, "g", ["z"], [])], "case_id int, group string, relevant array<string>, forbidden array<string>")
     got = {r["case_id"]: (r["precision_at_3"], round(r["recall_at_5"], 3), r["forbidden_at_5"]) for r in evaluation.retrieval_scores(results, qrels).collect()}
     assert got == {1: (0.5, 0.667, 1), 2: (1.0, 1.0, 0), 3: (0.0, 0.0, 0)}
+
+
+def test_answer_suite(spark):
+    kinds = (
+        "case_id long, question string, category string, tokens long, must_contain array<string>, forbidden array<string>, forbidden_new_fact_contains array<string>, expected_refusal_status string, requires_caveat boolean, "
+        "requires_existing_citations boolean"
+    )
+    suite = spark.createDataFrame([
+        (1, "why", "a", 5, ["Ward 3"], ["secret"], None, "answered", True, True), (2, "why", "a", None, ["ward 3"], ["mail"], ["invented"], "refused", True, True), (3, "why", None, 1, None, None, None, None, None, None),
+    ], kinds)
+    shown = "case_id long, present_keys array<string>, rendered string, public_text string, caveat_text string, used_raw_scan boolean, used_packet_only boolean, used_private_data boolean, refusal_status string, cited array<string>, allowed array<string>"
+    keys = evaluation.EXPLANATION_KEYS
+    explained = spark.createDataFrame([
+        (1, keys, "In WARD 3.", "clean", "This does not prove it.", False, True, False, "answered", ["e1"], ["e1", "e2"]),
+        (2, keys[1:], "Invented mail", "write x@example.com", None, True, False, True, "answered", ["e9"], ["e1"]), (3, keys, None, None, None, None, True, None, None, None, None),
+    ], shown)
+    made = jobs.evaluate_answers(suite, explained)
+    found = {r.case_id: r.failures for r in made["cases"].collect()}
+    assert found[1] == [] and found[3] == []
+    assert found[2] == [
+        "missing_explanation_key=answer", "missing_term=ward 3", "forbidden_term=mail", "new_fact_term=invented", "used_raw_scan", "not_packet_only", "used_private_data", "pii_leak",
+        "expected_refusal_status=refused, got=answered", "missing_caveat", "unfaithful_citation",
+    ]
+    assert {(r.category, r.total, r.passed, r.tokens) for r in made["categories"].collect()} == {("a", 2, 1, 5), ("uncategorized", 1, 1, 1)}
+
+
+def test_packet_claims(spark):
+    ids = lambda n: packets.numbered("evidence", F.lit(n))
+    made = values(spark, packets.packet_claims(F.lit(True), ids(2), ids(0), F.lit("file it")))
+    assert [(c.claim_type, c.citation_ids) for c in made] == [("jurisdiction", ["jurisdiction-1"]), ("public_work_or_payment", ["evidence-1", "evidence-2"])]
+    made = values(spark, packets.packet_claims(F.lit(False), ids(None), ids(0), F.lit("file it")))
+    assert [(c.claim_type, c.text, c.citation_ids) for c in made] == [("coverage_gap", "file it", [])]
+
+
+def test_case_packets(spark):
+    cases = spark.createDataFrame([(1, "streetlight not working near alpha"), (2, "garbage dump at nowhere"), (3, "pothole near alpha")], "case_id long, query string")
+    wards = spark.createDataFrame([("old:7", "7", "Alpha", "alpha", "198", "old", 1)], "ward_key string, ward_number string, ward_name string, normalized_name string, ward_regime string, version string, seq int")
+    mappings = spark.createDataFrame([], "old_ward_number string, old_ward_name string, new_ward_number string, new_ward_name string, old_name string, new_name string, seq int")
+    aliases = spark.createDataFrame([], "alias string, canonical_ward_name string, confidence string, seq int")
+    works = spark.createDataFrame([("w1", "s", "7", "198", "repair of street lights in alpha, mail x@example.com", "c", 5, 1)], "work_id string, source_id string, ward_number string, ward_regime string, description string, contractor string, amount long, row_number long")
+    paid = spark.createDataFrame([], "payment_id string, source_id string, ward_number string, ward_regime string, payment_reference string, contractor string, net_amount long, row_number long")
+    channels = spark.createDataFrame([("ch", "none", ["streetlight"])], "channel_id string, agency_id string, issue_types array<string>")
+    responses = spark.createDataFrame([(3, 77.6, 12.9, '{"ward_no_name": "9-Beta"}')], "case_id long, lng double, lat double, response string")
+    made = {r.case_id: r for r in jobs.case_packets(cases, wards, mappings, aliases, works, paid, channels, responses).collect()}
+    assert len(made) == 3 and (made[3].source, made[3].ward_number, made[3].ward_name) == ("official_xyinfo", "9", "Beta")
+    assert made[1].ward_name == "Alpha" and made[1].channels == ["ch"] and made[1].citation_ids == ["jurisdiction-1", "evidence-1", "channel-1"]
+    assert made[1].failures == ["provenance.evidence_records[0] is not publishable"]
+    assert made[2].evidence is None and made[2].failures == [] and [c.claim_type for c in made[2].claims] == ["coverage_gap"]
