@@ -153,7 +153,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 1.
         if best is not None:
             yield results()
 
-    found = dealt.repartition(parts, "pair").sortWithinPartitions("pair", "candidate").mapInArrow(search, "query_id long, id long, score long")
+    found = dealt.repartitionById(parts, "pair").sortWithinPartitions("pair", "candidate").mapInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
