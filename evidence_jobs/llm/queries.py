@@ -16,6 +16,9 @@ MODULES = {
     "op8_html_extraction": "html_main",
     "op9_bestfit_packing": "packing",
     "op10_license_scan": "license_scan",
+    "op11_lm_scoring": "neural_lm",
+    "op12_merkle_manifest": "merkle",
+    "op13_source_divergence": "divergence",
 }
 
 
@@ -24,6 +27,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from evidence_jobs.llm.divergence import OP13_SQL
+    from evidence_jobs.llm.merkle import OP12_SQL
     from evidence_jobs.llm.topk import OP1_SQL
 
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op12_merkle_manifest": OP12_SQL, "op13_source_divergence": OP13_SQL}
