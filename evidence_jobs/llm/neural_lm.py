@@ -24,6 +24,8 @@ ADDED = 0.1
 SIZE, NOISE, PASSES, BLOCK, RATE, PRIOR = 48, 8, 40, 256, 0.03, 0.5
 #: Terms that a counting task holds, and tokens it collects, before it hands on.
 HELD, CODES = 200_000, 1_000_000
+#: Contexts whose counts come to the driver in one row.
+ROWS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -119,8 +121,9 @@ def learn_vocabulary(counts: DataFrame, sizes: Sizes) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column(1)], ["class", "n"])
 
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    found = sorted(((r["n"], r["token"]) for r in _frequent(counts, sizes.frequent).collect()), key=lambda r: (-r[0], r[1]))
-    words = [bytes(t) for _, t in found]
+    common = _frequent(counts, sizes.frequent).select("token", "n").toArrow()
+    found = sorted(zip(common["n"].to_pylist(), common["token"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    words = [t for _, t in found]
     units = np.zeros(len(words), np.int64)
     single = [w for w in words if w != END][: sizes.words]
     number = {w: i for i, w in enumerate(single, 1)} | {END: 0}
@@ -169,10 +172,19 @@ def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield from pa.Table.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["code", "n"]).to_batches(max_chunksize=100_000)
 
-    found = texts.mapInArrow(pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(units_all * units_all)
-    out[found["code"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    return out.reshape(units_all, units_all)
+    width = ROWS * units_all
+
+    def block(table: pa.Table) -> pa.Table:
+        codes, counts = table["code"].to_numpy(), np.zeros(width, np.int64)
+        counts[codes % width] = table["n"].to_numpy()
+        return pa.table({"block": pa.array([codes[0] // width], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    sums = texts.mapInArrow(pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = sums.groupBy(F.call_function("div", F.col("code"), F.lit(width)).alias("block")).applyInArrow(block, "block int, counts binary")
+    out = np.zeros((-(-units_all // ROWS), width))
+    for row in found.toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)[: units_all * units_all].reshape(units_all, units_all)
 
 
 @dataclass(frozen=True)
