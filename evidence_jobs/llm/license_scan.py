@@ -89,8 +89,8 @@ def license_spans(keyed: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
 
     All k-grams of all documents are joined to the template positions, a fixed table of
     about a thousand rows, so the join is a broadcast and only hits are shuffled. Votes
-    are summed by (document, template, diagonal), where the diagonal is document position
-    minus template position; neighbouring diagonals are one match, which needs a least
+    are summed by (row, template, diagonal), where the diagonal is document position
+    minus template position; rows with equal keys are copies and vote once. Neighbouring diagonals are one match, which needs a least
     number of votes. A span is what the whole template would cover from these diagonals.
     """
     spark = keyed.sparkSession
@@ -100,10 +100,13 @@ def license_spans(keyed: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     schema = keyed.select("_key").schema.add("grams", ArrayType(LongType()))
     votes = (
         keyed.mapInArrow(_grams, schema)
-        .select("_key", F.posexplode("grams").alias("i", "gram"))
+        .withColumn("copy", F.monotonically_increasing_id())
+        .select("_key", "copy", F.posexplode("grams").alias("i", "gram"))
         .join(table, "gram")
-        .groupBy("_key", "template", (F.col("i") - F.col("at")).alias("diagonal"))
+        .groupBy("_key", "copy", "template", (F.col("i") - F.col("at")).alias("diagonal"))
         .agg(F.count(F.lit(1)).alias("votes"))
+        .groupBy("_key", "template", "diagonal")
+        .agg(F.max("votes").alias("votes"))
         .join(sizes, "template")
     )
     ordered = Window.partitionBy("_key", "template").orderBy("diagonal")
@@ -165,8 +168,8 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     left out or changed does no harm, the same words in another order do. Every candidate
     span is compared with its template, so equal hashes alone decide nothing. score is 1
     with a base phrase, else the best share of a template that gave a label, else 0.
-    Null and empty texts have no words and no labels; repeated rows each keep a row; a
-    null id is an ordinary value; other columns are left out, whatever their names.
+    Null and empty texts have no words and no labels; repeated rows each keep a row, with
+    the result of one; a null id is an ordinary value; other columns are left out, whatever their names.
     """
     rows = docs.select(column(id_column).alias("_id"), column(text).alias("_text"))
     keyed = rows.select(F.struct(F.col("_id").alias("id"), F.xxhash64("_text").alias("hash")).alias("_key"), "_text")

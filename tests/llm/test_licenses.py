@@ -84,3 +84,17 @@ def test_the_method_adds_labels_on_the_given_documents(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "cc by nc", 1, "x")], "`doc id` long, text string, spans int, _key string")
     assert [r["labels"] for r in license_scan.scan_licenses(df, "doc id").collect()] == ["cc-by-nc"]
+
+
+def test_repeated_rows_count_once(spark):
+    """A wording with two of every five words replaced gets the same result in one row and in many."""
+    words = dict(license_scan.WORDINGS)["mit"].split()
+    changed = " ".join(f"x{i}" if i % 5 in (1, 3) else w for i, w in enumerate(words))
+    texts = [changed, dict(license_scan.WORDINGS)["mit"], "under the mit license and more", "", None]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many = once
+    for _ in range(6):
+        many = many.unionByName(once)
+    one = {tuple(r) for r in license_scan.scan_licenses(once).collect()}
+    rows = [tuple(r) for r in license_scan.scan_licenses(many).collect()]
+    assert set(rows) == one and len(rows) == 7 * len(texts)
