@@ -58,7 +58,8 @@ MAIN_TAGS = ("article", "main")
 CONTAINERS = frozenset("html body main article section div center table tbody tr td form".split())
 TEXT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p li td pre blockquote figure figcaption span b i em strong a code".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>\"']*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -85,50 +86,122 @@ class Node:
         self.path, self.chars, self.main, self.shape, self.parent, self.depth, self.varying = 0, 0, False, 0, None, 0, 0
 
 
+class Scanner:
+    """The tags of a text in order, each found in one pass over it, however broken.
+
+    From a place outside of quotes a tag's end is settled by the next quote or `>`, so
+    a place that led to no end once never does: such places are remembered, and no
+    stretch of the text is read more than once for tags that never end.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last_end, self.no_end = html, html.rfind(">"), set()
+        self.next_special = (0, -1)
+
+    def special(self, at: int) -> int:
+        """The next quote or `>` from here, -1 if none."""
+        low, high = self.next_special
+        if not low <= at <= high:
+            found = _SPECIAL.search(self.html, at)
+            self.next_special = low, high = at, found.start() if found else len(self.html)
+        return high if high < len(self.html) else -1
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the `>` that ends the tag around here, -1 if there is none."""
+        html, seen = self.html, []
+        while at <= self.last_end:
+            place = self.special(at)
+            if place < 0 or place in self.no_end:
+                break
+            if html[place] == ">":
+                return place
+            seen.append(place)
+            closing = html.find(html[place], place + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        self.no_end.update(seen)
+        return -1
+
+    def token(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, tag or None, whether it closes, attributes' text) of the next comment, declaration or tag."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), None, False, ""
+            if html.startswith(("<!", "<?"), start):
+                if start < self.last_end:
+                    return start, html.find(">", start) + 1, None, False, ""
+            elif (name := _NAME.match(html, at)) and (end := self.end_of_tag(name.end())) >= 0:
+                return start, end + 1, name[1].lower(), html[at] == "/", html[name.end() : end]
+        return None
+
+
+class Open:
+    """The open elements, with the places of each tag among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, 0 if none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags, until) -> None:
+        """Ends the innermost element of the tags, if none of `until` is open inside of it."""
+        place = self.last(tags)
+        if place > self.last(until):
+            for node in reversed(self.nodes[place:]):
+                self.places[node.tag].pop()
+            del self.nodes[place:]
+
+
+#: Closing tags of these don't reach out of an open element of BARRIERS; a new block ends an open p up to PARAGRAPH_ENDS.
+INNER, BARRIERS = frozenset(("p", "b", "i", "span", "a", "em", "strong", "li")), ("article", "main", "body", "table")
+PARAGRAPH_ENDS = ("article", "main", "body", "div", "section", "td", "li", "blockquote")
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>|\Z", re.I)
+
+
 def parse(html: str | None) -> Node:
-    """A tree of any markup, however broken; unclosed tags end with their container."""
+    """A tree of any markup, however broken, in time linear in its length; unclosed tags end with their container."""
     html = html or ""
     root = Node("#root")
-    stack, at = [root], 0
+    scanner, opened, at = Scanner(html), Open(root), 0
 
     def leaf(text: str) -> None:
         if text:
-            stack[-1].children.append(Node("#", text=unescape(text)))
-
-    def pop(tags: set, until: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-
-    while match := _TOKEN.search(html, at):
-        leaf(html[at : match.start()])
-        at = match.end()
-        if match[2] is None:
+            opened.nodes[-1].children.append(Node("#", text=unescape(text)))
+
+    while token := scanner.token(at):
+        start, end, tag, closing, rest = token
+        leaf(html[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = match[2].lower()
-        if match[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "table") and tag in ("p", "b", "i", "span", "a", "em", "strong", "li"):
-                    break
+        if closing:
+            opened.close((tag,), BARRIERS if tag in INNER else ())
             continue
         if tag in BLOCK:
-            pop({"p"}, {"article", "main", "body", "div", "section", "td", "li", "blockquote"})
+            opened.close(("p",), PARAGRAPH_ENDS)
         if tag in CLOSES:
-            pop(*CLOSES[tag])
-        attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(match[3])} if match[3].strip(" /") else {}
+            opened.close(*CLOSES[tag])
+        attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        opened.nodes[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(html, at)
-            at = end.end()
-        elif tag not in VOID and not (match[3].endswith("/") and tag not in BLOCK):
-            stack.append(node)
+            at = _raw_end(tag).search(html, at).end()
+        elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCK):
+            opened.push(node)
     leaf(html[at:])
     return root
 

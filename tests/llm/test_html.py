@@ -137,3 +137,15 @@ def test_deep_and_broken_markup_and_clashing_names(spark):
     got = {r["page_id"]: r for r in html_main.extract_main(df).collect()}
     assert [got[i]["text"] for i in range(3)] == ["story 0", "story 1", "story 2"]
     assert got[1]["_host"] == 1 and got[1]["a b.c"] == "x"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    half = 1 << 19
+    for page in ("<a " * (half // 2), "<div>" * 20_000 + "</x>" * 200_000, "<a '" * (half // 2), "<a \"'" * (half // 2), "<a b" * (half // 4) + '"', "<p><article>" + "<div>" * 50_000 + "</p>" * 100_000, "<li>" * 100_000, "<!" * half, "<x" * half + ">"):
+        began = time.time()
+        html_main.parse(page)
+        assert time.time() - began < 3, page[:20]
+    assert [c.text for c in html_main.parse("a < b <c 'd").children] == ["a < b <c 'd"]
+    assert html_main.parse("<p title='a > b'>x</p>").children[0].attributes == {"title": "a > b"}
