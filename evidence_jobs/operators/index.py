@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import text
+from evidence_jobs.operators.firsts import first_rows, first_values
+from evidence_jobs.operators.phrases import with_phrases
 from evidence_jobs.operators.places import dictionary
 from evidence_jobs.sources.stored import stored
 
@@ -97,8 +99,9 @@ def number_names(wards: DataFrame, mappings: DataFrame) -> DataFrame:
 def place_keys(chunks: DataFrame, names: DataFrame, numbers: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Distinct (chunk_key, chunk_type, place): names in the search text or the ward name field, and names of ward numbers in ward-like fields or spoken in the text.
 
-    A name is looked for only where its first word stands. `keep` names the columns kept
-    of a chunk. Chunks are read several times; store them first.
+    All names are looked for in one pass over a text, and only what it holds leaves its
+    row. `keep` names the columns kept of a chunk. Chunks are read several times; store
+    them first.
     """
     keep = keep or ["chunk_key", "chunk_type"]
     ward = text.normalize_name(F.coalesce(F.try_element_at("fields", F.lit("ward_name")), F.lit("")))
@@ -107,9 +110,8 @@ def place_keys(chunks: DataFrame, names: DataFrame, numbers: DataFrame, keep: li
     near = F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]).contains("ward")), lambda e: e["value"]), " | ")
     spoken = F.when(F.col("search_text").contains("ward"), text.spoken_ward_numbers(F.col("search_text"))).otherwise(F.array().cast("array<string>"))
     said = F.concat(exact, F.regexp_extract_all(near, F.lit(r"\b\d{1,3}\b"), F.lit(0)), spoken)
-    words = F.split("name", " ")
-    first = names.where(F.size(words) <= PLACE_WORDS).select(F.element_at(words, 1).alias("token"), F.col("name").alias("place"))
-    in_text = chunks.select(*keep, "search_text", F.explode(F.split("search_text", " ")).alias("token")).join(dictionary(first), "token").where(text.contains_phrase(F.col("search_text"), F.col("place")))
+    short = names.where(F.size(F.split("name", " ")) <= PLACE_WORDS).select("name")
+    in_text = with_phrases(chunks.select(*keep, "search_text"), {"_held": ("search_text", short, True)}).select(*keep, F.explode("_held").alias("place"))
     in_field = chunks.select(*keep, F.explode(F.array_distinct(F.array(ward, text.without_final_u(ward)))).alias("place")).join(dictionary(names.select(F.col("name").alias("place"))), "place")
     by_number = chunks.select(*keep, F.explode(F.array_distinct(said)).alias("number")).join(dictionary(numbers.select("number", F.explode("names").alias("place"))), "number")
     parts = [part.select(*keep, "place") for part in (in_text, in_field, by_number)]
@@ -171,12 +173,31 @@ def merge_stats(stats: DataFrame, key: str) -> DataFrame:
     """Partial stats (seq, complaint_count, latest_record_date, status_breakdown, example_ids) combined per key; five distinct ids in order."""
     facts = stats.groupBy(key).agg(F.sum("complaint_count").alias("complaint_count"), F.max("latest_record_date").alias("latest_record_date"))
     status = stats.select(key, F.explode("status_breakdown").alias("s", "n")).groupBy(key, "s").agg(F.sum("n").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))).alias("status_breakdown"))
-    ids = stats.select(key, "seq", F.posexplode("example_ids").alias("pos", "id")).groupBy(key, "id").agg(F.min(F.struct("seq", "pos")).alias("at")).groupBy(key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]), 1, 5).alias("example_ids"))
+    each = stats.select(key, "seq", F.posexplode("example_ids").alias("pos", "id")).groupBy(key, "id").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    ids = first_values(each, [key], ["at"], "id", 5).withColumnRenamed("id", "example_ids")
     return facts.join(status, key, "left").join(ids, key, "left")
 
 
+STATS = ["complaint_count", "latest_record_date", "status_breakdown", "example_ids"]
+
+
 def best_bucket(wanted: DataFrame, stats: DataFrame) -> DataFrame:
     """Per case of wanted (case_id, place, issue): the stats of its one largest bucket; ties to the first name."""
-    hits = wanted.join(stats, [wanted["place"].eqNullSafe(stats["place"]), wanted["issue"].eqNullSafe(stats["issue"])]).select("case_id", wanted["place"], wanted["issue"], "complaint_count", "latest_record_date")
-    order = Window.partitionBy("case_id").orderBy(F.col("complaint_count").desc(), "place", "issue")
-    return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    hits = wanted.join(stats, [wanted["place"].eqNullSafe(stats["place"]), wanted["issue"].eqNullSafe(stats["issue"])]).select("case_id", wanted["place"], wanted["issue"], *STATS)
+    return first_rows(hits, ["case_id"], [F.col("complaint_count").desc(), "place", "issue"], 1, "_n").drop("_n")
+
+
+def question_stats(asked: DataFrame, stats: DataFrame) -> DataFrame:
+    """(case_id, complaint_count, latest_record_date, status_breakdown, example_ids) from the index's own counts.
+
+    With places it is the largest bucket of a name and an asked issue, or of a name alone
+    without an issue; without places the issues' buckets are merged. A question without a
+    bucket has no row.
+    """
+    placed = F.size("names") > 0
+    issues = F.when(F.size("issue_keys") > 0, F.col("issue_keys")).otherwise(F.array(F.lit(None).cast("string")))
+    wanted = asked.where(placed).select("case_id", F.explode("names").alias("place"), issues.alias("_i")).select("case_id", "place", F.explode("_i").alias("issue"))
+    one = best_bucket(wanted, stats).select("case_id", *STATS)
+    loose = asked.where(~placed).select("case_id", F.posexplode("issue_keys").alias("seq", "issue"))
+    parts = loose.join(stats.where("place IS NULL").drop("place"), "issue").drop("issue")
+    return one.unionByName(merge_stats(parts, "case_id").select("case_id", *STATS))

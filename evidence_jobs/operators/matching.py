@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import routing, text
+from evidence_jobs.operators.firsts import first_rows
+from evidence_jobs.operators.phrases import with_phrases
 from evidence_jobs.operators.places import dictionary
+from evidence_jobs.sources.stored import stored
 
 #: Issue types that no work record bears on; matches kept of a case.
 SKIPPED, MOST_MATCHES = ["power", "traffic", "water_sewage"], 20
@@ -36,33 +39,30 @@ def match_records(cases: DataFrame, records: DataFrame) -> DataFrame:
     cases (case_id, issue_type, intent, match_terms, ward_number, ward_regime, place,
     terms). Many cases ask the same: records are joined to the distinct questions, by
     ward number and by place phrase, ranked there, and the winners go back to the cases.
+    All phrases are looked for in one pass over the records' texts.
     A ward match is preferred to a match of the place in the text. Works come before
     payments, then by row number and id.
     """
     asks = ["intent", "match_terms", "ward_number", "ward_regime", "place", "terms"]
     usable = cases.where(~F.col("issue_type").isin(*SKIPPED)).where((F.coalesce("place", F.lit("")) != "") | (F.size("terms") > 0))
     keyed = usable.withColumn("question", F.sha1(F.to_json(F.struct(*asks))))
-    questions = keyed.groupBy("question").agg(*(F.first(c).alias(c) for c in asks))
+    questions = stored(keyed.groupBy("question").agg(*(F.first(c).alias(c) for c in asks)))
     own = ["entity_type", "record_id", "source_id", "claim", "amount", "row_number"]
 
     q = questions.withColumnsRenamed({"ward_number": "q_ward", "ward_regime": "q_regime"})
     by_ward = records.join(dictionary(q), F.col("q_ward") == F.col("ward_number")).where((F.col("q_ward") != "") & regimes_compatible(F.col("q_regime"), F.col("ward_regime")))
     wanted = F.array_distinct(F.filter(F.concat(F.array("place"), "terms"), lambda t: t.isNotNull() & (t != "")))
-    phrases = q.select("question", F.explode(wanted).alias("phrase")).where("phrase <> ''")
-    # A phrase in a text begins in one of its words: at the word's end if more words follow. So phrases meet the vocabulary, and records meet phrases by word.
-    words, head = F.explode(F.array_distinct(F.split("text", " "))), F.split("phrase", " ")
-    begins = F.when(F.size(head) > 1, F.col("word").endswith(F.element_at(head, 1))).otherwise(F.col("word").contains(F.col("phrase")))
-    meets = records.select(words.alias("word")).distinct().join(dictionary(phrases.select("phrase").distinct()), begins)
-    mentions = records.withColumn("word", words).join(dictionary(meets), "word").where(F.col("text").contains(F.col("phrase"))).drop("word")
-    by_text = mentions.join(dictionary(phrases), "phrase").drop("phrase").join(dictionary(q), "question")
+    phrases = stored(q.select("question", F.explode(wanted).alias("phrase")).where("phrase <> ''"))
+    held = with_phrases(records, {"_held": ("text", phrases.select("phrase"), False)}).withColumn("phrase", F.explode("_held")).drop("_held")
+    by_text = held.join(dictionary(phrases), "phrase").drop("phrase").join(dictionary(q), "question")
 
     gate = routing.issue_match(F.col("intent"), F.col("match_terms"), F.col("text"))
     score = lambda ward: routing.rank_match(F.col("intent"), F.col("text"), F.lit(ward))
     shape = lambda df, ward, method: df.where(gate).select("question", *own, F.lit(method).alias("match_method"), F.lit(int(not ward)).alias("by"), score(ward).alias("m"))
     every = shape(by_ward, True, "ward_number_and_issue_terms").unionByName(shape(by_text, False, "place_text_and_issue_terms"))
     once = every.groupBy("question", *own).agg(F.min_by(F.struct("match_method", "m"), "by").alias("b")).select("question", *own, "b.match_method", F.col("b.m.label").alias("label"), F.col("b.m.confidence").alias("confidence"))
-    order = Window.partitionBy("question").orderBy(F.col("confidence").desc(), F.when(F.col("entity_type") == "work", 0).otherwise(1), "row_number", "record_id")
-    top = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_MATCHES)
+    order = [F.col("confidence").desc(), F.when(F.col("entity_type") == "work", 0).otherwise(1), "row_number", "record_id"]
+    top = first_rows(once, ["question"], order, MOST_MATCHES)
     return keyed.select("case_id", "question").join(top, "question").drop("question")
 
 

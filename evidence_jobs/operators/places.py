@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions.text import normalize_name
+from evidence_jobs.operators.phrases import with_phrases
 
 #: Wards, mappings and place lists are dictionaries; one larger than this, in rows or as bytes of JSON, is not broadcast.
 DICTIONARY_ROWS, DICTIONARY_BYTES = 1_000_000, 128 << 20
@@ -13,10 +14,28 @@ DICTIONARY_ROWS, DICTIONARY_BYTES = 1_000_000, 128 << 20
 LENSES = [("all", None, None), ("recent", 1998, None), ("single", 1997, 1997)]
 
 
-def dictionary(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it is small enough, by rows and bytes that are counted up to the limit."""
+def is_dictionary(df: DataFrame) -> bool:
+    """Whether df is small, by rows and bytes that are counted up to the limit; df should be a stored or given table."""
     rows, size = df.limit(DICTIONARY_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
-    return F.broadcast(df) if rows <= DICTIONARY_ROWS and size <= DICTIONARY_BYTES else df
+    return rows <= DICTIONARY_ROWS and size <= DICTIONARY_BYTES
+
+
+def dictionary(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it is small enough."""
+    return F.broadcast(df) if is_dictionary(df) else df
+
+
+def containments(places: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (query, name) where one holds the other, of places (query) and names (name); both not empty.
+
+    Names are looked for in queries, and queries in names, by an automaton each, so only
+    pairs that match are made.
+    """
+    queries = places.select("query").where("query <> ''").distinct()
+    known = names.select("name").where("name <> ''").distinct()
+    inside = with_phrases(queries, {"held": ("query", known, False)}).select("query", F.explode("held").alias("name"))
+    around = with_phrases(known, {"held": ("name", queries, False)}).select(F.explode("held").alias("query"), "name")
+    return inside.unionByName(around).distinct()
 
 
 def name_score(name: Column, query: Column) -> Column:
@@ -25,26 +44,22 @@ def name_score(name: Column, query: Column) -> Column:
 
 
 def ward_candidates(places: DataFrame, wards: DataFrame) -> DataFrame:
-    """(place_id, query, ward columns, match_score) of the wards whose name scores.
-
-    wards is a dictionary of some hundred rows; the containment test is a loop over it.
-    """
-    score = name_score(F.col("normalized_name"), F.col("query"))
-    return places.where("query <> ''").join(F.broadcast(wards), score > 0).withColumn("match_score", score)
+    """(place_id, query, ward columns, match_score) of the wards whose name scores."""
+    met = containments(places, wards.select(F.col("normalized_name").alias("name"))).withColumnRenamed("name", "_name")
+    found = places.join(met, "query").join(wards, F.col("_name") == wards["normalized_name"]).drop("_name")
+    return found.withColumn("match_score", name_score(F.col("normalized_name"), F.col("query")))
 
 
 def area_candidates(places: DataFrame, wards: DataFrame) -> DataFrame:
     """As ward_candidates for zone, corporation and assembly: 0.7 equal, 0.55 containment; the last matching field is named."""
     fields = ["zone", "corporation", "assembly_constituency"]
-    made = wards.withColumns({f"_{c}": normalize_name(F.col(c)) for c in fields})
-
-    def hit(c: str) -> Column:
-        n, q = F.col(f"_{c}"), F.col("query")
-        return F.when(n == "", 0.0).when(n == q, 0.7).when(n.contains(q) | q.contains(n), 0.55).otherwise(0.0)
-
-    best = F.greatest(*(hit(c) for c in fields))
-    named = F.coalesce(*(F.when(hit(c) > 0, F.col(c)) for c in reversed(fields)))
-    return places.where("query <> ''").join(F.broadcast(made), best > 0).withColumn("match_score", best).withColumn("matched_area", named).drop(*(f"_{c}" for c in fields))
+    keyed = wards.withColumn("_areas", F.to_json(F.struct(*fields)))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(c).alias("area"), normalize_name(F.col(c)).alias("name")) for i, c in enumerate(fields))))
+    areas = keyed.select("_areas", *fields).distinct().select("_areas", each.alias("a")).select("_areas", "a.*")
+    met = containments(places, areas.select("name"))
+    score = F.when(F.col("name") == F.col("query"), 0.7).otherwise(0.55)
+    best = areas.join(met, "name").groupBy("query", "_areas").agg(F.max(score).alias("match_score"), F.max_by("area", "field").alias("matched_area"))
+    return places.join(best, "query").join(keyed, "_areas").drop("_areas")
 
 
 def mapped_candidates(places: DataFrame, mappings: DataFrame, wards: DataFrame) -> DataFrame:
@@ -77,7 +92,7 @@ def relevant_names(places: DataFrame, wards: DataFrame, mappings: DataFrame) ->
     """Distinct (place_id, name): the query, all candidates' names, and both names of mappings that hold it."""
     asked = places.where("query <> ''").select("place_id", "query")
     both = mappings.select(normalize_name(F.col("old_ward_name")).alias("o"), normalize_name(F.col("new_ward_name")).alias("n"))
-    sides = asked.join(F.broadcast(both), (F.col("query") == F.col("o")) | (F.col("query") == F.col("n")))
+    sides = asked.join(dictionary(both.select(F.explode(F.array_distinct(F.array("o", "n"))).alias("query"), "o", "n")), "query")
     parts = [
         asked.select("place_id", F.col("query").alias("name")),
         ward_candidates(asked, wards).select("place_id", F.col("normalized_name").alias("name")),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions.text import aliases, ngrams, normalize_name, without_final_u
-from evidence_jobs.operators.places import dictionary
+from evidence_jobs.operators.places import dictionary, is_dictionary
+from evidence_jobs.sources.stored import stored
 
 
 def longest_name(*names: DataFrame) -> int:
@@ -128,18 +133,66 @@ def detect_places(cases: DataFrame, wards: DataFrame, mappings: DataFrame, query
     return grams.join(dictionary(known), grams["gram"] == known["name"]).select("case_id", without_final_u(F.col("name")).alias("name"), "ward_number").distinct()
 
 
+def steps_of(mappings: DataFrame, old: str, new: str) -> DataFrame:
+    """Distinct (a, b, seq): from either side of a mapping to its other one."""
+    sides = F.array(F.struct(F.col(old).alias("a"), F.col(new).alias("b")), F.struct(F.col(new).alias("a"), F.col(old).alias("b")))
+    return mappings.select("seq", F.explode(sides).alias("s")).select("s.a", "s.b", "seq").where("a <> '' AND b <> '' AND a <> b").distinct()
+
+
 def reached_through(mappings: DataFrame, old: str, new: str) -> DataFrame:
     """Distinct (start, reached): what a name leads to when the mappings are walked once in order of seq.
 
     A mapping that holds a name reached before it adds its other side, so paths have
-    ascending seq. mappings is a dictionary; the walk is a recursive query over it.
+    ascending seq. Of all ways to a name only the one that arrives first matters: whatever
+    another leads to, it leads to as well. So the state is the least seq by (start, name),
+    and a round extends what the last one improved; its size is that of the result, however
+    many paths there are. If the steps are a dictionary (dictionary()), a task walks from
+    each of its starts by itself; else rounds of joins do it.
     """
-    steps = mappings.select("seq", F.explode(F.array(F.struct(F.col(old).alias("a"), F.col(new).alias("b")), F.struct(F.col(new).alias("a"), F.col(old).alias("b")))).alias("s")).select("seq", "s.a", "s.b").where("a <> '' AND b <> '' AND a <> b").distinct()
-    walk = """WITH RECURSIVE walk(start, reached, at) AS (
-        SELECT DISTINCT a, a, CAST(-1 AS BIGINT) FROM {steps} UNION ALL
-        SELECT walk.start, s.b, CAST(s.seq AS BIGINT) FROM walk JOIN {steps} s ON s.a = walk.reached AND s.seq > walk.at)
-        SELECT DISTINCT start, reached FROM walk"""
-    return mappings.sparkSession.sql(walk, steps=steps)
+    steps = stored(steps_of(mappings, old, new))
+    return _walked(steps) if is_dictionary(steps) else _joined(steps)
+
+
+def first_arrivals(start: str, steps: dict[str, list[tuple[int, str]]]) -> list[str]:
+    """The names reached from one, by ascending seq; steps: of each name, (seq, other side) in order."""
+    at, queue = {start: -(1 << 62)}, [(-(1 << 62), start)]
+    while queue:
+        seq, name = heapq.heappop(queue)
+        if seq > at[name]:
+            continue
+        own = steps.get(name, ())
+        for arrived, other in own[bisect_right(own, (seq, chr(0x10FFFF))) :]:
+            if arrived < at.get(other, 1 << 62):
+                at[other] = arrived
+                heapq.heappush(queue, (arrived, other))
+    return list(at)
+
+
+def _walked(steps: DataFrame) -> DataFrame:
+    known: dict[str, list[tuple[int, str]]] = {}
+    for row in steps.orderBy("seq", "b").toLocalIterator():
+        known.setdefault(row["a"], []).append((row["seq"], row["b"]))
+    shared = steps.sparkSession.sparkContext.broadcast(known)
+
+    def walk(batches):
+        for batch in batches:
+            for start in batch.column("a").to_pylist():
+                found = first_arrivals(start, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([start] * len(found)), pa.array(found)], ["start", "reached"])
+
+    return steps.select("a").distinct().mapInArrow(walk, "start string, reached string")
+
+
+def _joined(steps: DataFrame) -> DataFrame:
+    none = F.lit(-(1 << 62)).cast("long")
+    state = steps.select(F.col("a").alias("start"), F.col("a").alias("reached"), none.alias("at")).distinct()
+    fresh = state
+    while not fresh.isEmpty():
+        ahead = fresh.join(steps, (F.col("reached") == F.col("a")) & (F.col("seq") > F.col("at"))).groupBy("start", F.col("b").alias("reached")).agg(F.min("seq").alias("at"))
+        known = state.select("start", "reached", F.col("at").alias("_before"))
+        fresh = stored(ahead.join(known, ["start", "reached"], "left").where(F.col("_before").isNull() | (F.col("at") < F.col("_before"))).drop("_before"))
+        state = stored(state.unionByName(fresh).groupBy("start", "reached").agg(F.min("at").alias("at")))
+    return state.select("start", "reached")
 
 
 def widened_names(detected: DataFrame, mappings: DataFrame) -> DataFrame:

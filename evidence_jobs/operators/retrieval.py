@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import privacy, text
+from evidence_jobs.operators.firsts import first_rows, first_values
 from evidence_jobs.operators.index import WARD_FIELDS
+from evidence_jobs.operators.phrases import with_phrases
 from evidence_jobs.operators.places import dictionary
 from evidence_jobs.operators.vectors import rank_by_cosine
 from evidence_jobs.sources.stored import stored
@@ -38,27 +40,42 @@ def money_terms(issue_keys: Column) -> Column:
     return out
 
 
-def any_term(body: Column, terms: Column) -> Column:
-    return F.exists(terms, lambda t: body.contains(t))
+#: What a question meets of a chunk: its own columns, and what of all questions' words stands in its texts.
+FACTS = ["chunk_key", "chunk_type", "source_id", "date", "status", "external_complaint_id", "staff_name", "issues"]
+MATCH_COLUMNS = ["in_search", "in_body", "in_name", "named", "body_named", "values", "ward_values", "said", "body_said", "works_word"]
 
 
-def with_match_columns(chunks: DataFrame) -> DataFrame:
-    """chunks with what the place tests look at, made once a chunk: body, body_name, values, ward_values, and numbers spoken in the search text and in the body."""
+def with_match_columns(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The FACTS of chunks, their `held`, and MATCH_COLUMNS: each text is read once for the words and names of all questions.
+
+    in_search, in_body, in_name: terms that the search text, the title and text, and
+    these normalised hold; named, body_named: place names there; said, body_said: ward
+    numbers spoken there. After this no pair of a question and a chunk looks at a text.
+    """
     body = F.lower(F.concat_ws(" ", "title", "text"))
     wards = F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]).isin(*WARD_FIELDS))
-    out = chunks.withColumns({"body": body, "said": text.spoken_ward_numbers(F.col("search_text"), "1,"), "values": F.array_distinct(F.transform(F.map_values("fields"), lambda v: text.normalize_name(v)))})
-    return out.withColumns({"body_name": text.normalize_name(F.col("body")), "body_said": text.spoken_ward_numbers(F.col("body"), "1,"), "ward_values": F.transform(wards, lambda e: F.trim(e["value"]))})
-
-
-MATCH_COLUMNS = ["body", "body_name", "values", "ward_values", "said", "body_said"]
-
-
-def matches_place(normalized: str, said: str) -> Column:
+    field = lambda name: F.try_element_at("fields", F.lit(name)).alias(name)
+    wide = chunks.select(
+        "chunk_key", "chunk_type", "source_id", "date", "search_text", "held", body.alias("body"), field("status"), field("external_complaint_id"), field("staff_name"),
+        F.array_distinct(F.transform(F.map_values("fields"), lambda v: text.normalize_name(v))).alias("values"), F.transform(wards, lambda e: F.trim(e["value"])).alias("ward_values"),
+        text.issue_keys(F.col("search_text")).alias("issues"), text.spoken_ward_numbers(F.col("search_text"), "1,").alias("said"), text.has_any(F.col("search_text"), WORKS_WORDS).alias("works_word"),
+    )
+    wide = wide.withColumns({"body_name": text.normalize_name(F.col("body")), "body_said": text.spoken_ward_numbers(F.col("body"), "1,")})
+    words = lambda *columns: asked.select(F.explode(F.array_distinct(F.concat(*columns))).alias("w"))
+    finds = {
+        "in_search": ("search_text", words("terms", "complaint_terms", "money_terms"), False), "in_body": ("body", words("all_terms"), False),
+        "named": ("search_text", words("names"), True), "body_named": ("body_name", words("names"), True),
+    }
+    if "landmark" in asked.columns:
+        finds["in_name"] = ("body_name", words("landmark"), False)
+    found = with_phrases(wide, finds)
+    return found.select(*FACTS, "held", *(F.col(c) if c in found.columns else F.array().cast("array<string>").alias(c) for c in MATCH_COLUMNS))
+
+
+def matches_place(named: str, said: str) -> Column:
     """A name stands in the text or is a field's value, or a ward field has, or the text speaks of, one of the numbers."""
-    padded = F.concat(F.lit(" "), F.col(normalized), F.lit(" "))
-    spoken = F.exists("names", lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))
     by_number = F.arrays_overlap("ward_values", "numbers") | F.arrays_overlap(said, "numbers")
-    return F.coalesce(spoken | F.arrays_overlap("values", "names") | by_number, F.lit(False))
+    return F.coalesce(F.arrays_overlap(named, "names") | F.arrays_overlap("values", "names") | by_number, F.lit(False))
 
 
 def questions(cases: DataFrame, names: DataFrame, numbers: DataFrame, intent: Column) -> DataFrame:
@@ -97,21 +114,20 @@ def candidate_rows(asked: DataFrame, chunks: DataFrame, buckets: DataFrame) -> D
     wanted = wanted_buckets(asked)
     asks = asked.join(wanted.groupBy("case_id").agg(F.collect_set("bucket").alias("wanted")), "case_id").join(wanted, "case_id")
     held = buckets.join(dictionary(wanted.select("bucket").distinct()), "bucket", "left_semi").groupBy("chunk_key").agg(F.array_sort(F.collect_set("bucket")).alias("held"))
-    each = with_match_columns(chunks.join(held, "chunk_key")).withColumn("bucket", F.explode("held"))
+    each = with_match_columns(chunks.join(held, "chunk_key"), asked).withColumn("bucket", F.explode("held"))
     met = each.join(dictionary(asks), "bucket")
     return met.where((F.size("held") == 1) | (F.array_min(F.array_intersect("held", "wanted")) == F.col("bucket"))).drop("held", "wanted", "bucket")
 
 
 def filtered(pairs: DataFrame) -> DataFrame:
     """Rows of questions with candidate chunks (with_match_columns) that pass the term, issue and place rules."""
-    c = F.col
+    c, meets = F.col, lambda terms: F.arrays_overlap("in_search", terms)
     placed = (F.size("names") > 0) | (F.size("numbers") > 0)
-    on_terms = any_term(c("search_text"), c("terms"))
     complaint, money = c("chunk_type") == "complaint", c("chunk_type").isin("work_payment", "tender")
-    ok = ~complaint | (F.size("complaint_terms") == 0) | any_term(c("search_text"), c("complaint_terms"))
-    ok = ok & (~money | (F.size("money_terms") == 0) | any_term(c("search_text"), c("money_terms")))
-    ok = ok & (~money | (F.size("names") == 0) | text.has_any(c("search_text"), WORKS_WORDS) | on_terms)
-    return pairs.where(ok & F.when(placed, matches_place("search_text", "said")).otherwise(complaint | on_terms))
+    ok = ~complaint | (F.size("complaint_terms") == 0) | meets("complaint_terms")
+    ok = ok & (~money | (F.size("money_terms") == 0) | meets("money_terms"))
+    ok = ok & (~money | (F.size("names") == 0) | c("works_word") | meets("terms"))
+    return pairs.where(ok & F.when(placed, matches_place("named", "said")).otherwise(complaint | meets("terms")))
 
 
 def ranked(pairs: DataFrame, best: int | None = None) -> DataFrame:
@@ -122,17 +138,17 @@ def ranked(pairs: DataFrame, best: int | None = None) -> DataFrame:
     """
     c = F.col
     asked = F.lower("query")
-    score = F.size(F.filter("all_terms", lambda t: c("body").contains(t)))
+    score = F.size(F.filter("all_terms", lambda t: F.array_contains("in_body", t)))
     score = score + F.when(c("chunk_type") == "complaint", 8).when(c("chunk_type").isin("work_payment", "tender"), 6).otherwise(0)
     score = score + F.when((c("chunk_type") == "work_payment") & asked.rlike(r"\b(work orders?|payment|paid|bill|contractor)\b"), 8).otherwise(0)
     score = score + F.when((c("chunk_type") == "tender") & asked.rlike(r"\b(tender|tenders|procurement)\b"), 8).otherwise(0)
-    score = score + F.when(matches_place("body_name", "body_said"), 10).otherwise(0)
+    score = score + F.when(matches_place("body_named", "body_said"), 10).otherwise(0)
     order = [F.col("score").desc(), F.col("date").desc_nulls_last(), "source_id", "chunk_key"]
     if "landmark" in pairs.columns:
-        pairs = pairs.withColumn("on_landmark", any_term(c("body_name"), c("landmark")))
+        pairs = pairs.withColumn("on_landmark", F.arrays_overlap("in_name", "landmark"))
     rows = pairs.withColumn("score", score).drop(*MATCH_COLUMNS)
     if best is not None:
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id", "chunk_type").orderBy(*order))).where(F.col("rank") <= best)
+        rows = first_rows(rows, ["case_id", "chunk_type"], order, best)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
 
 
@@ -176,41 +192,56 @@ def extractive_answer(rows: DataFrame) -> DataFrame:
     kinds += [F.bool_or("on_landmark").alias("on_landmark")] if "on_landmark" in rows.columns else []
     complaint = F.col("chunk_type") == "complaint"
     facts = rows.groupBy("case_id").agg(*kinds, F.max(F.when(complaint, F.col("date"))).alias("latest_record_date"))
-    status = rows.where(complaint).select("case_id", F.try_element_at("fields", F.lit("status")).alias("s")).where("s <> ''").groupBy("case_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    status = rows.where(complaint & (F.col("status") != "")).groupBy("case_id", F.col("status").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     counts = status.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "n"))), lambda x: F.concat(x["s"], F.lit("="), x["n"])), ",").alias("status_counts"))
-    order = Window.partitionBy("case_id").orderBy("rank")
-    head = rows.where(complaint).withColumn("n", F.row_number().over(order)).where("n <= 5").groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.try_element_at("fields", F.lit("external_complaint_id")).alias("i")))), lambda x: x["i"]), ",").alias("example_ids"))
+    head = first_values(rows.where(complaint), ["case_id"], ["rank"], "external_complaint_id", 5)
+    head = head.select("case_id", F.array_join("external_complaint_id", ",").alias("example_ids"))
     return facts.join(counts, "case_id", "left").join(head, "case_id", "left")
 
 
 def issue_tracks(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """Per (case, requested issue): rows that speak of it, first three complaint ids, sorted types; issues without rows are there."""
-    wanted = asked.select("case_id", F.explode("issue_keys").alias("issue"))
-    spoken = rows.select("case_id", "rank", "chunk_type", F.try_element_at("fields", F.lit("external_complaint_id")).alias("id"), F.explode(text.issue_keys(F.col("search_text"))).alias("issue"))
-    joined = wanted.join(spoken, ["case_id", "issue"], "left")
-    ids = F.filter(F.array_sort(F.collect_list(F.when(F.col("chunk_type") == "complaint", F.struct("rank", "id")))), lambda x: x["id"].isNotNull())
-    return joined.groupBy("case_id", "issue").agg(F.count("chunk_type").alias("rows"), F.array_join(F.transform(F.slice(ids, 1, 3), lambda x: x["id"]), ",").alias("complaint_ids"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("types"))
+    keys = ["case_id", "issue"]
+    spoken = rows.select("case_id", "rank", "chunk_type", F.col("external_complaint_id").alias("id"), F.explode("issues").alias("issue"))
+    counted = spoken.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("types"))  # as many as TYPES
+    first = first_values(spoken.where("chunk_type = 'complaint' AND id IS NOT NULL"), keys, ["rank"], "id", 3)
+    found = asked.select("case_id", F.explode("issue_keys").alias("issue")).join(counted, keys, "left").join(first, keys, "left")
+    return found.select(*keys, F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce(F.array_join("id", ","), F.lit("")).alias("complaint_ids"), F.coalesce("types", F.lit("")).alias("types"))
 
 
 def routed_roles(rows: DataFrame) -> DataFrame:
     """(case_id, seq, role): staff roles of retrieved complaints, for an ordered distinct."""
-    role = text.clean_text(F.coalesce(F.try_element_at("fields", F.lit("staff_name")), F.lit("")))
+    role = text.clean_text(F.coalesce("staff_name", F.lit("")))
     return rows.where("chunk_type = 'complaint'").select("case_id", F.col("rank").alias("seq"), role.alias("role")).where("role <> '' AND lower(role) NOT IN ('none', 'null', 'nan')")
 
 
-def retrieve(asked: DataFrame, chunks: DataFrame, buckets: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None, best: int | None = None) -> DataFrame:
-    """All passing chunks of each question, ranked; with `best` those that can be among the best so many.
+@dataclass(frozen=True)
+class Search:
+    """A retrieval: `questions` are the distinct ones, by case_id; `rows` are their ranked chunks, scored once and stored narrow.
+
+    All outputs are derived from rows, question by question; to_cases() brings them to
+    every case that asks.
+    """
+
+    cases: DataFrame
+    questions: DataFrame
+    rows: DataFrame
+
+    def to_cases(self, found: DataFrame) -> DataFrame:
+        return self.cases.join(found.withColumnRenamed("case_id", "_q"), "_q").drop("_q")
+
+
+def search(asked: DataFrame, chunks: DataFrame, buckets: DataFrame, best: int | None = None) -> Search:
+    """All passing chunks of each distinct question, ranked; with `best` those that can be among the best so many.
 
-    Questions meet chunks by bucket key only, never row by row. Equal questions are
-    answered once: what `then` makes of a question's rows (case_id, rank, ...) goes back
-    to all cases that ask it.
+    Questions meet chunks by bucket key only, never row by row, and equal questions are
+    answered once.
     """
     parts = [c for c in asked.columns if c != "case_id"]
     keyed = stored(asked.withColumn("_q", F.sha1(F.to_json(F.struct(*parts)))))
     once = stored(keyed.groupBy("_q").agg(*(F.first(c).alias(c) for c in parts)).withColumnRenamed("_q", "case_id"))
-    rows = ranked(filtered(candidate_rows(once, chunks, buckets)), best).drop(*parts)
-    found = (then(rows) if then else rows).withColumnRenamed("case_id", "_q")
-    return keyed.join(found, "_q").drop("_q")
+    rows = stored(ranked(filtered(candidate_rows(once, chunks, buckets)), best).drop(*parts))
+    return Search(keyed, once, rows)
 
 
 def packet_chunks(evidence: DataFrame, citations: DataFrame) -> DataFrame:

@@ -130,10 +130,18 @@ def _(d):
     return shown(index.complaint_stats(stats_rows(d), ["place"]))
 
 
-@query("agg07_merge_stats", f"WITH b AS ({BUCKET_STATS}), t AS (SELECT issue, row_number() OVER (PARTITION BY issue ORDER BY place) AS o, complaint_count, latest_record_date FROM b WHERE issue IS NOT NULL AND place IS NOT NULL) SELECT issue, sum(complaint_count)::BIGINT AS complaint_count, max(latest_record_date) AS latest_record_date FROM t GROUP BY 1")
+MERGED = f"""WITH b AS ({BUCKET_STATS}), t AS (SELECT * FROM b WHERE issue IS NOT NULL AND place IS NOT NULL),
+    e AS (SELECT issue, id, min(struct_pack(place := place, pos := pos)) AS first FROM (SELECT issue, place, unnest(string_split(example_ids, ',')) AS id, generate_subscripts(string_split(example_ids, ','), 1) AS pos FROM t WHERE example_ids <> '') GROUP BY 1, 2),
+    s AS (SELECT issue, split_part(x, '=', 1) AS status, sum(CAST(split_part(x, '=', 2) AS BIGINT))::BIGINT AS n FROM (SELECT issue, unnest(string_split(statuses, ',')) AS x FROM t WHERE statuses <> '') GROUP BY 1, 2)
+    SELECT a.issue, complaint_count, latest_record_date, coalesce(statuses, '') AS statuses, example_ids FROM (SELECT issue, sum(complaint_count)::BIGINT AS complaint_count, max(latest_record_date) AS latest_record_date FROM t GROUP BY 1) a
+    LEFT JOIN (SELECT issue, string_agg(status || '=' || n, ',' ORDER BY status) AS statuses FROM s GROUP BY 1) s ON s.issue = a.issue
+    LEFT JOIN (SELECT issue, array_to_string(list_slice(list(id ORDER BY first), 1, 5), ',') AS example_ids FROM e GROUP BY 1) e ON e.issue = a.issue"""
+
+
+@query("agg07_merge_stats", MERGED)
 def _(d):
     parts = index.bucket_stats(stats_rows(d)).where("issue IS NOT NULL AND place IS NOT NULL").withColumn("seq", F.col("place"))
-    return index.merge_stats(parts, "issue").select("issue", "complaint_count", "latest_record_date")
+    return shown(index.merge_stats(parts, "issue")).select("issue", "complaint_count", "latest_record_date", "statuses", "example_ids")
 
 
 INTENT_KEYS = f"SELECT case_id, query, {keys_sql(norm('query'))} AS keys FROM {{cases}}"
@@ -145,7 +153,7 @@ def _(d):
     names = resolve.widened_names(resolve.detect_places(d.cases, d.wards, d.mappings), d.mappings)
     keys = d.cases.select("case_id", F.explode(text.issue_keys(F.col("query"))).alias("issue"))
     wanted = names.select("case_id", F.col("name").alias("place")).join(keys, "case_id")
-    return index.best_bucket(wanted, index.bucket_stats(stats_rows(d)))
+    return index.best_bucket(wanted, index.bucket_stats(stats_rows(d))).drop("status_breakdown", "example_ids")
 
 
 def asked(d):
@@ -188,19 +196,21 @@ FOUND = f"found AS (SELECT a.case_id, c.*, keys, names, query, all_terms, {SCORE
 RANKED = f"WITH RECURSIVE {BASE}, {FOUND}"
 
 
-def retrieved(d, then=None, best=None):
+def retrieved(d, then=lambda s: s.rows, best=None):
+    """What `then` makes of the search, for each case."""
     rows = indexed(d)
-    return retrieval.retrieve(asked(d), rows, buckets(d, rows), then, best)
+    found = retrieval.search(asked(d), rows, buckets(d, rows), best)
+    return found.to_cases(then(found))
 
 
 @query("flt04_flt05_filtered", f"{RANKED} SELECT case_id, chunk_type, count(*) AS n FROM r GROUP BY 1, 2")
 def _(d):
-    return retrieved(d).groupBy("case_id", "chunk_type").agg(F.count(F.lit(1)).alias("n"))
+    return retrieved(d, lambda s: s.rows.groupBy("case_id", "chunk_type").agg(F.count(F.lit(1)).alias("n"))).select("case_id", "chunk_type", "n")
 
 
 @query("srt03_ranked", f"{RANKED} SELECT case_id, rank, chunk_key, score FROM r WHERE rank <= 30")
 def _(d):
-    return retrieved(d, best=30).where("rank <= 30").select("case_id", "rank", "chunk_key", "score")
+    return retrieved(d, lambda s: s.rows.where("rank <= 30"), 30).select("case_id", "rank", "chunk_key", "score")
 
 
 CHOSEN = "sel AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN first THEN CASE chunk_type WHEN 'complaint' THEN 1 ELSE 2 END ELSE 5 END, rank) AS place FROM (SELECT *, min(rank) OVER (PARTITION BY case_id, chunk_type) = rank AS first FROM r))"
@@ -208,27 +218,27 @@ CHOSEN = "sel AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CAS
 
 @query("win05_selected", f"{RANKED}, {CHOSEN} SELECT case_id, place, chunk_key FROM sel WHERE place <= 12")
 def _(d):
-    return retrieved(d, retrieval.selected, retrieval.MOST_CHUNKS).select("case_id", "place", "chunk_key")
+    return retrieved(d, lambda s: retrieval.selected(s.rows), retrieval.MOST_CHUNKS).select("case_id", "place", "chunk_key")
 
 
 @query("win07_library", f"{RANKED}, {CHOSEN} SELECT case_id, chunk_type, n, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY case_id, chunk_type ORDER BY place) AS n FROM sel WHERE place <= 12) WHERE n <= 5")
 def _(d):
-    return retrieved(d, lambda rows: retrieval.evidence_library(retrieval.selected(rows)), retrieval.MOST_CHUNKS).select("case_id", "chunk_type", "n", "chunk_key")
+    return retrieved(d, lambda s: retrieval.evidence_library(retrieval.selected(s.rows)), retrieval.MOST_CHUNKS).select("case_id", "chunk_type", "n", "chunk_key")
 
 
 @query("agg09_answer", f"{RANKED} SELECT a.case_id, complaint_rows, work_payment_rows, latest_record_date, status_counts, example_ids FROM (SELECT case_id, count(*) FILTER (chunk_type = 'complaint') AS complaint_rows, count(*) FILTER (chunk_type = 'work_payment') AS work_payment_rows, max(date) AS latest_record_date FROM r GROUP BY 1) a LEFT JOIN (SELECT case_id, string_agg(status || '=' || n, ',' ORDER BY status) AS status_counts FROM (SELECT case_id, status, count(*) AS n FROM r WHERE chunk_type = 'complaint' AND status <> '' GROUP BY 1, 2) GROUP BY 1) s ON s.case_id = a.case_id LEFT JOIN (SELECT case_id, string_agg(ext, ',' ORDER BY rank) AS example_ids FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS n FROM r WHERE chunk_type = 'complaint') WHERE n <= 5 GROUP BY 1) e ON e.case_id = a.case_id")
 def _(d):
-    return retrieved(d, retrieval.extractive_answer).select("case_id", "complaint_rows", "work_payment_rows", "latest_record_date", "status_counts", "example_ids")
+    return retrieved(d, lambda s: retrieval.extractive_answer(s.rows)).select("case_id", "complaint_rows", "work_payment_rows", "latest_record_date", "status_counts", "example_ids")
 
 
-@query("agg10_issue_tracks", f"{RANKED}, sp AS (SELECT r.case_id, r.rank, r.chunk_type, r.ext, i.issue FROM r JOIN issues i ON i.chunk_key = r.chunk_key), wn AS (SELECT case_id, unnest(keys) AS issue FROM a) SELECT wn.case_id, wn.issue, count(sp.chunk_type) AS rows, coalesce(string_agg(DISTINCT sp.chunk_type, ',' ORDER BY sp.chunk_type), '') AS types FROM wn LEFT JOIN sp ON sp.case_id = wn.case_id AND sp.issue = wn.issue GROUP BY 1, 2")
+@query("agg10_issue_tracks", f"{RANKED}, sp AS (SELECT r.case_id, r.rank, r.chunk_type, r.ext, i.issue FROM r JOIN issues i ON i.chunk_key = r.chunk_key), wn AS (SELECT case_id, unnest(keys) AS issue FROM a) SELECT wn.case_id, wn.issue, count(sp.chunk_type) AS rows, coalesce(array_to_string(list_slice(list(sp.ext ORDER BY sp.rank) FILTER (sp.chunk_type = 'complaint' AND sp.ext IS NOT NULL), 1, 3), ','), '') AS complaint_ids, coalesce(string_agg(DISTINCT sp.chunk_type, ',' ORDER BY sp.chunk_type), '') AS types FROM wn LEFT JOIN sp ON sp.case_id = wn.case_id AND sp.issue = wn.issue GROUP BY 1, 2")
 def _(d):
-    return retrieval.issue_tracks(asked(d), retrieved(d)).select("case_id", "issue", "rows", "types")
+    return retrieved(d, lambda s: retrieval.issue_tracks(s.questions, s.rows)).select("case_id", "issue", "rows", "complaint_ids", "types")
 
 
 @query("set02_routed_roles", f"{RANKED} SELECT case_id, string_agg(staff_name, '|' ORDER BY first) AS roles FROM (SELECT case_id, staff_name, min(rank) AS first FROM r WHERE chunk_type = 'complaint' GROUP BY 1, 2) GROUP BY 1")
 def _(d):
-    return retrieved(d, lambda rows: packets.ordered_distinct(retrieval.routed_roles(rows), "case_id", "role")).select("case_id", F.array_join("values", "|").alias("roles"))
+    return retrieved(d, lambda s: packets.ordered_distinct(retrieval.routed_roles(s.rows), "case_id", "role")).select("case_id", F.array_join("values", "|").alias("roles"))
 
 
 LANDMARK = f"list_filter({TERM_LIST}, lambda t: length(t) >= 5 AND NOT list_contains({retrieval.LANDMARK_STOPS}, t) AND t <> 'nation')"
