@@ -13,6 +13,8 @@ from evidence_jobs.sources.stored import stored
 
 #: Rows of an issue bucket that are stored at most, and salts of its two-phase trim.
 ISSUE_BUCKET_ROWS, TRIM_SALTS = 5000, 64
+#: Slots that the buckets of a stored index are dealt into.
+SLOTS = 64
 #: Words of a place name in the index.
 PLACE_WORDS = 4
 STATS_COLUMNS = ["chunk_key", "seq", "status", "grievance_date", "external_complaint_id"]
@@ -125,6 +127,11 @@ def bucket_keys(chunks: DataFrame, places: DataFrame) -> DataFrame:
     return by_place.unionByName(by_issue).withColumn("bucket", F.concat_ws(":", "chunk_type", "kind", "value"))
 
 
+def slot_of(bucket: Column) -> Column:
+    """The slot of a bucket in a stored index."""
+    return F.pmod(F.xxhash64(bucket), F.lit(SLOTS)).cast("int")
+
+
 def trim_buckets(rows: DataFrame, limit: int = ISSUE_BUCKET_ROWS) -> DataFrame:
     """rows (bucket, kind, chunk_key, date): place buckets whole, of issue buckets the newest `limit`, undated last.
 
@@ -137,6 +144,18 @@ def trim_buckets(rows: DataFrame, limit: int = ISSUE_BUCKET_ROWS) -> DataFrame:
     return rows.where("kind = 'place'").unionByName(issues.drop("_salt"))
 
 
+def stats_rows(chunks: DataFrame, names: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Complaint chunks (with_search_text) once per place and once per issue, with both keys and STATS_COLUMNS; chunks without a place have a null one."""
+    rows = chunks.where("chunk_type = 'complaint'")
+    field = lambda c: F.try_element_at("fields", F.lit(c))
+    facts = {"seq": F.col("row_number"), **{c: field(c) for c in ("status", "grievance_date", "external_complaint_id")}, "issues": text.normalized_issue_keys(F.col("search_text"))}
+    rows = rows.withColumns(facts)
+    keep = [*STATS_COLUMNS, "issues"]
+    placed = place_keys(rows, names, numbers, keep)
+    bare = rows.select(*keep).join(placed.select("chunk_key").distinct(), "chunk_key", "left_anti").withColumn("place", F.lit(None).cast("string"))
+    return placed.unionByName(bare.select(placed.columns)).withColumn("issue", F.explode_outer("issues")).drop("issues")
+
+
 def complaint_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys of rows (chunk_key, seq, status, grievance_date, external_complaint_id): count, latest date, statuses, example ids.
 

@@ -105,9 +105,14 @@ def answer_confidence(places: Column, rows: Column, gaps: Column) -> Column:
     return F.when(places == 0, "needs_place_clarification").when(F.size(gaps) > 0, "partial").when(rows > 0, "source_backed").otherwise("thin")
 
 
-def contract_claims(complaint_rows: Column, latest: Column, work_rows: Column, tender_rows: Column, needs_money: Column, has_contact: Column, asks_now: Column, gaps: Column) -> Column:
-    """array of struct(text, claim_type, support_level): what an answer claims, from its counts and gaps."""
-    claim = lambda words, kind, level: F.struct(words.alias("text"), F.lit(kind).alias("claim_type"), F.lit(level).alias("support_level"))
+def contract_claims(complaint_rows: Column, latest: Column, work_rows: Column, tender_rows: Column, needs_money: Column, has_contact: Column, asks_now: Column, gaps: Column, cited: Column | None = None) -> Column:
+    """array of struct(text, claim_type, support_level, citation_ids): what an answer claims, from its counts and gaps.
+
+    `cited` is the number of retrieved citations, c1 and so on; the contact's comes after
+    them. A contact claim cites that, all others cite the first.
+    """
+    contact = F.array(F.concat(F.lit("c"), ((F.lit(0) if cited is None else F.coalesce(cited, F.lit(0))) + 1).cast("string")))
+    claim = lambda words, kind, level: F.struct(words.alias("text"), F.lit(kind).alias("claim_type"), F.lit(level).alias("support_level"), (contact if kind == "contact" else F.array(F.lit("c1"))).alias("citation_ids"))
     lit, text = F.lit, lambda n: n.cast("string")
     through = F.when(latest.isNotNull(), F.concat(lit(" through "), latest)).otherwise("")
     money = work_rows + tender_rows > 0
@@ -134,11 +139,19 @@ def answer_contract(asked: DataFrame, facts: DataFrame) -> DataFrame:
         places, F.size("landmark") > 0, F.coalesce("on_landmark", F.lit(False)), c("needs_money"), low.contains("tender"), c("wants_complaints"), works, tenders, complaints, complaints + works + tenders + n("streetlight_asset_rows")
     )
     rows = asked.join(facts, "case_id", "left").withColumn("gaps", gaps)
-    claims = contract_claims(complaints, c("latest_record_date"), works, tenders, c("needs_money"), F.lit(True), low.rlike(r"\b(live|current|today|status|fresh|latest)\b"), c("gaps"))
+    claims = contract_claims(complaints, c("latest_record_date"), works, tenders, c("needs_money"), F.lit(True), low.rlike(r"\b(live|current|today|status|fresh|latest)\b"), c("gaps"), n("cited") if "cited" in facts.columns else None)
     label = answer_confidence(places, complaints + works + tenders, c("gaps"))
     return rows.select("case_id", answer_type(complaints, works + tenders, c("gaps")).alias("answer_type"), label.alias("confidence_label"), "gaps", claims.alias("claims"))
 
 
+def answer_citations(asked: DataFrame, selected: DataFrame) -> DataFrame:
+    """(case_id, n, id, source_id, evidence_type, chunk_key): the selected chunks in order of place, then the contact channels, of every question."""
+    one = selected.select("case_id", F.col("place").cast("long").alias("n"), "source_id", F.col("chunk_type").alias("evidence_type"), "chunk_key")
+    counted = selected.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
+    last = asked.select("case_id").join(counted, "case_id", "left").select("case_id", (F.coalesce("rows", F.lit(0)) + 1).alias("n"), F.lit("official_contact_channels").alias("source_id"), F.lit("contact_channel").alias("evidence_type"), F.lit(None).cast("string").alias("chunk_key"))
+    return one.unionByName(last).withColumn("id", F.concat(F.lit("c"), F.col("n").cast("string")))
+
+
 def numbered(prefix: str, n: Column) -> Column:
     """prefix-1 to prefix-n."""
     count = F.coalesce(n, F.lit(0)).cast("int")

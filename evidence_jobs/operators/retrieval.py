@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidence_jobs.functions import privacy, text
 from evidence_jobs.operators.firsts import first_rows, first_values
-from evidence_jobs.operators.index import WARD_FIELDS
+from evidence_jobs.operators.index import WARD_FIELDS, slot_of
 from evidence_jobs.operators.phrases import with_phrases
 from evidence_jobs.operators.places import dictionary
 from evidence_jobs.operators.vectors import rank_by_cosine
@@ -58,7 +58,7 @@ def with_match_columns(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     wide = chunks.select(
         "chunk_key", "chunk_type", "source_id", "date", "search_text", "held", body.alias("body"), field("status"), field("external_complaint_id"), field("staff_name"),
         F.array_distinct(F.transform(F.map_values("fields"), lambda v: text.normalize_name(v))).alias("values"), F.transform(wards, lambda e: F.trim(e["value"])).alias("ward_values"),
-        text.issue_keys(F.col("search_text")).alias("issues"), text.spoken_ward_numbers(F.col("search_text"), "1,").alias("said"), text.has_any(F.col("search_text"), WORKS_WORDS).alias("works_word"),
+        text.normalized_issue_keys(F.col("search_text")).alias("issues"), text.spoken_ward_numbers(F.col("search_text"), "1,").alias("said"), text.has_any(F.col("search_text"), WORKS_WORDS).alias("works_word"),
     )
     wide = wide.withColumns({"body_name": text.normalize_name(F.col("body")), "body_said": text.spoken_ward_numbers(F.col("body"), "1,")})
     words = lambda *columns: asked.select(F.explode(F.array_distinct(F.concat(*columns))).alias("w"))
@@ -100,9 +100,19 @@ def wanted_buckets(asked: DataFrame) -> DataFrame:
     return asked.select("case_id", F.explode(kinds).alias("kind"), tail.alias("tail")).select("case_id", F.explode(F.transform("tail", lambda t: F.concat("kind", F.lit(":"), t))).alias("bucket")).distinct()
 
 
+def wanted_rows(wanted: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The rows of wanted buckets. Of a stored index only the slots that hold one are read: the join on the partition column prunes the scan."""
+    keys = wanted.select("bucket").distinct()
+    if "slot" not in buckets.columns:
+        return buckets.join(dictionary(keys), "bucket", "left_semi")
+    slots = sorted(r[0] for r in keys.select(slot_of(F.col("bucket"))).distinct().collect())  # SLOTS at most
+    return buckets.where(F.col("slot").isin(slots)).join(dictionary(keys), "bucket", "left_semi")
+
+
 def candidates(asked: DataFrame, buckets: DataFrame) -> DataFrame:
     """Distinct (case_id, chunk_key): each chunk once per case, from all of its buckets."""
-    return wanted_buckets(asked).join(buckets.select("bucket", "chunk_key"), "bucket").select("case_id", "chunk_key").distinct()
+    wanted = wanted_buckets(asked)
+    return wanted.join(wanted_rows(wanted, buckets).select("bucket", "chunk_key"), "bucket").select("case_id", "chunk_key").distinct()
 
 
 def candidate_rows(asked: DataFrame, chunks: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -112,8 +122,10 @@ def candidate_rows(asked: DataFrame, chunks: DataFrame, buckets: DataFrame) -> D
     can be told apart in the row and needs no shuffle: the first common bucket keeps it.
     """
     wanted = wanted_buckets(asked)
-    asks = asked.join(wanted.groupBy("case_id").agg(F.collect_set("bucket").alias("wanted")), "case_id").join(wanted, "case_id")
-    held = buckets.join(dictionary(wanted.select("bucket").distinct()), "bucket", "left_semi").groupBy("chunk_key").agg(F.array_sort(F.collect_set("bucket")).alias("held"))
+    low = F.lower("query")
+    said = {"asks_paid": low.rlike(r"\b(work orders?|payment|paid|bill|contractor)\b"), "asks_tender": low.rlike(r"\b(tender|tenders|procurement)\b"), "repeats": F.size(F.array_distinct("all_terms")) < F.size("all_terms")}
+    asks = asked.withColumns(said).join(wanted.groupBy("case_id").agg(F.collect_set("bucket").alias("wanted")), "case_id").join(wanted, "case_id")
+    held = wanted_rows(wanted, buckets).groupBy("chunk_key").agg(F.array_sort(F.collect_set("bucket")).alias("held"))
     each = with_match_columns(chunks.join(held, "chunk_key"), asked).withColumn("bucket", F.explode("held"))
     met = each.join(dictionary(asks), "bucket")
     return met.where((F.size("held") == 1) | (F.array_min(F.array_intersect("held", "wanted")) == F.col("bucket"))).drop("held", "wanted", "bucket")
@@ -137,16 +149,15 @@ def ranked(pairs: DataFrame, best: int | None = None) -> DataFrame:
     for its own rows before the shuffle.
     """
     c = F.col
-    asked = F.lower("query")
-    score = F.size(F.filter("all_terms", lambda t: F.array_contains("in_body", t)))
+    score = F.when(c("repeats"), F.size(F.filter("all_terms", lambda t: F.array_contains("in_body", t)))).otherwise(F.size(F.array_intersect("in_body", "all_terms")))
     score = score + F.when(c("chunk_type") == "complaint", 8).when(c("chunk_type").isin("work_payment", "tender"), 6).otherwise(0)
-    score = score + F.when((c("chunk_type") == "work_payment") & asked.rlike(r"\b(work orders?|payment|paid|bill|contractor)\b"), 8).otherwise(0)
-    score = score + F.when((c("chunk_type") == "tender") & asked.rlike(r"\b(tender|tenders|procurement)\b"), 8).otherwise(0)
+    score = score + F.when((c("chunk_type") == "work_payment") & c("asks_paid"), 8).otherwise(0)
+    score = score + F.when((c("chunk_type") == "tender") & c("asks_tender"), 8).otherwise(0)
     score = score + F.when(matches_place("body_named", "body_said"), 10).otherwise(0)
     order = [F.col("score").desc(), F.col("date").desc_nulls_last(), "source_id", "chunk_key"]
     if "landmark" in pairs.columns:
         pairs = pairs.withColumn("on_landmark", F.arrays_overlap("in_name", "landmark"))
-    rows = pairs.withColumn("score", score).drop(*MATCH_COLUMNS)
+    rows = pairs.withColumn("score", score).drop(*MATCH_COLUMNS, "asks_paid", "asks_tender", "repeats")
     if best is not None:
         rows = first_rows(rows, ["case_id", "chunk_type"], order, best)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
@@ -228,7 +239,7 @@ class Search:
     rows: DataFrame
 
     def to_cases(self, found: DataFrame) -> DataFrame:
-        return self.cases.join(found.withColumnRenamed("case_id", "_q"), "_q").drop("_q")
+        return self.cases.select("case_id", "_q").join(found.withColumnRenamed("case_id", "_q"), "_q").drop("_q")
 
 
 def search(asked: DataFrame, chunks: DataFrame, buckets: DataFrame, best: int | None = None) -> Search:

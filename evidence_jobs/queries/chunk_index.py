@@ -156,6 +156,9 @@ def _(d):
     return index.best_bucket(wanted, index.bucket_stats(stats_rows(d))).drop("status_breakdown", "example_ids")
 
 
+TRIMMED = f"tb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY date DESC NULLS LAST, chunk_key) AS r FROM buckets) WHERE kind = 'place' OR r <= {index.ISSUE_BUCKET_ROWS})"
+
+
 def asked(d):
     found = resolve.detect_places(d.cases, d.wards, d.mappings)
     return retrieval.questions(d.cases, resolve.widened_names(found, d.mappings), resolve.widened_numbers(found, d.mappings), routing.interpret_intent(F.col("query")))
@@ -173,6 +176,22 @@ WANTED = """want AS (SELECT case_id, kind || ':place:' || n AS bucket FROM (SELE
     UNION SELECT case_id, kind || ':issue:' || n FROM (SELECT case_id, unnest(keys) AS n, wants_complaints, wants_money FROM a WHERE len(names) = 0), (SELECT unnest(['complaint', 'work_payment']) AS kind) WHERE CASE kind WHEN 'complaint' THEN wants_complaints ELSE wants_money END)"""
 PAIRS = "pairs AS (SELECT DISTINCT want.case_id, b.chunk_key FROM want JOIN buckets b ON b.bucket = want.bucket)"
 BASE = f"{Q}, {WIDE}, {REACH2}, {ALL}, {ASKED}, {WANTED}, {PAIRS}"
+BASE_TRIMMED = f"{Q}, {WIDE}, {REACH2}, {ALL}, {TRIMMED}, {ASKED}, {WANTED}, {PAIRS.replace('JOIN buckets b', 'JOIN tb b')}"
+
+
+@query(
+    "agg08_question_stats",
+    f"""WITH RECURSIVE {Q}, {WIDE}, {REACH2}, b AS ({BUCKET_STATS}), {ASKED},
+    k AS (SELECT case_id, n, i FROM (SELECT case_id, unnest(names) AS n, CASE WHEN len(keys) > 0 THEN keys ELSE [NULL] END AS ks FROM a WHERE len(names) > 0), unnest(ks) AS u(i)),
+    one AS (SELECT case_id, complaint_count, latest_record_date, statuses FROM (SELECT k.case_id, b.*, row_number() OVER (PARTITION BY k.case_id ORDER BY complaint_count DESC, place, issue) AS r FROM k JOIN b ON b.place = k.n AND b.issue IS NOT DISTINCT FROM k.i) WHERE r = 1),
+    loose AS (SELECT case_id, b.* FROM (SELECT case_id, unnest(keys) AS i FROM a WHERE len(names) = 0) l JOIN b ON b.place IS NULL AND b.issue = l.i),
+    st2s AS (SELECT case_id, split_part(x, '=', 1) AS s, sum(CAST(split_part(x, '=', 2) AS BIGINT))::BIGINT AS n FROM (SELECT case_id, unnest(string_split(statuses, ',')) AS x FROM loose WHERE statuses <> '') GROUP BY 1, 2)
+    SELECT * FROM one UNION ALL SELECT l.case_id, n, d, coalesce(statuses, '') FROM (SELECT case_id, sum(complaint_count)::BIGINT AS n, max(latest_record_date) AS d FROM loose GROUP BY 1) l LEFT JOIN (SELECT case_id, string_agg(s || '=' || n, ',' ORDER BY s) AS statuses FROM st2s GROUP BY 1) s ON s.case_id = l.case_id""",
+)
+def _(d):
+    rows = indexed(d)
+    stats = index.bucket_stats(index.stats_rows(rows, index.place_names(d.wards, d.mappings), index.number_names(d.wards, d.mappings)))
+    return shown(index.question_stats(asked(d), stats)).select("case_id", "complaint_count", "latest_record_date", "statuses")
 
 
 @query("jn16_candidates", f"WITH RECURSIVE {BASE} SELECT case_id, count(*) AS n FROM pairs GROUP BY 1")
@@ -189,9 +208,10 @@ USEFUL = f"list_filter(all_terms, lambda t: NOT list_contains({retrieval.STOP_TE
 RULES = f"""(CASE WHEN len(names) > 0 OR len(nums) > 0 THEN {ON_PLACE} ELSE chunk_type = 'complaint' OR {in_any('search_text', USEFUL)} END)
     AND (chunk_type <> 'complaint' OR len(complaint_terms) = 0 OR {in_any('search_text', 'complaint_terms')}) AND (chunk_type = 'complaint' OR len(money_terms) = 0 OR {in_any('search_text', 'money_terms')})
     AND (chunk_type = 'complaint' OR len(names) = 0 OR {in_any('search_text', USEFUL)} OR {any_of('search_text', retrieval.WORKS_WORDS)})"""
+BODY_SPOKEN = r"regexp_extract_all(lower(title || ' ' || text), '\bward\s*(?:no\.?|number)?\s*-?\s*(\d+)\b', 1)"
 SCORE = f"""len(list_filter(all_terms, lambda t: contains(lower(title || ' ' || text), t))) + CASE chunk_type WHEN 'complaint' THEN 8 ELSE 6 END
     + CASE WHEN chunk_type = 'work_payment' AND {matches('lower(query)', r'\b(work orders?|payment|paid|bill|contractor)\b')} THEN 8 ELSE 0 END
-    + CASE WHEN (len(list_filter(names, lambda t: contains(' ' || {norm("title || ' ' || text")} || ' ', ' ' || t || ' '))) > 0 OR list_contains(nums, ward)) THEN 10 ELSE 0 END"""
+    + CASE WHEN (len(list_filter(names, lambda t: contains(' ' || {norm("title || ' ' || text")} || ' ', ' ' || t || ' '))) > 0 OR list_contains(nums, ward) OR len(list_intersect({BODY_SPOKEN}, nums)) > 0) THEN 10 ELSE 0 END"""
 FOUND = f"found AS (SELECT a.case_id, c.*, keys, names, query, all_terms, {SCORE} AS score FROM pairs JOIN a ON a.case_id = pairs.case_id JOIN c ON c.chunk_key = pairs.chunk_key WHERE {RULES}), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, date DESC NULLS LAST, source_id, chunk_key) AS rank FROM found)"
 RANKED = f"WITH RECURSIVE {BASE}, {FOUND}"
 
