@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evidence_jobs.functions.geometry import point_state
+from evidence_jobs.functions.geometry import cell_states, point_state
 from evidence_jobs.operators.places import dictionary
+from evidence_jobs.sources.stored import stored
 
 #: Side of a grid cell in degrees, and cells of a shape beyond which its box is tested without the grid.
 CELL, MOST_CELLS = 0.05, 10_000
@@ -23,21 +27,41 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
+def boundary_cells(boundaries: DataFrame, cell: float = CELL) -> DataFrame:
+    """(feature_idx, cx, cy, state): grid cells of each shape's box of at most MOST_CELLS; state is that of all points of the cell, null where an edge may be near."""
+    kind = boundaries.schema["feature_idx"].dataType
+
+    def classified(batches):
+        for batch in batches:
+            for _, row in batch.iterrows():
+                states = cell_states(row["shape"], cell, row["i0"], row["i1"], row["j0"], row["j1"])
+                at = np.indices(states.shape).reshape(2, -1)
+                name = np.array(["outside", "inside", None], dtype=object)[states.reshape(-1)]
+                yield pd.DataFrame({"feature_idx": row["feature_idx"], "cx": at[0] + row["i0"], "cy": at[1] + row["j0"], "state": name})
+
+    boxes = bounding_boxes(boundaries).where("x0 IS NOT NULL")
+    ranges = {"i0": _cell(F.col("x0"), cell), "i1": _cell(F.col("x1"), cell), "j0": _cell(F.col("y0"), cell), "j1": _cell(F.col("y1"), cell)}
+    few = boxes.withColumns(ranges).where("(i1 - i0 + 1) * (j1 - j0 + 1) <= " + str(MOST_CELLS))
+    return few.select("feature_idx", "shape", *ranges).mapInPandas(classified, T.StructType([T.StructField("feature_idx", kind), *(T.StructField(c, T.LongType()) for c in ("cx", "cy")), T.StructField("state", T.StringType())]))
+
+
 def point_states(points: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
     """(case_id, feature_idx, state) of points and the shapes whose box holds them; state is inside, edge or outside.
 
-    Points meet boxes by grid cell. Only then is the shape itself joined, once a
+    Points meet boxes by grid cell. A cell that no edge of a shape comes near has one
+    state. Only points of other cells meet the shape itself, which is joined once a
     feature, so that a large shape isn't copied into each of its cells.
     """
     boxes = bounding_boxes(boundaries).where(F.col("x0").isNotNull()).select("feature_idx", "x0", "x1", "y0", "y1")
     spans = (_cell(F.col("x1"), cell) - _cell(F.col("x0"), cell) + 1) * (_cell(F.col("y1"), cell) - _cell(F.col("y0"), cell) + 1)
-    cells = boxes.where(spans <= MOST_CELLS).withColumn("cx", F.explode(F.sequence(_cell(F.col("x0"), cell), _cell(F.col("x1"), cell)))).withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), cell), _cell(F.col("y1"), cell))))
+    cells = stored(boundary_cells(boundaries, cell).join(boxes, "feature_idx"))
     in_box = F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
     placed = points.withColumn("cx", _cell(F.col("lng"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
-    near = placed.join(dictionary(cells), ["cx", "cy"]).where(in_box).select("case_id", "lng", "lat", "feature_idx")
+    near = stored(placed.join(dictionary(cells), ["cx", "cy"]).where(in_box).select("case_id", "lng", "lat", "feature_idx", "state"))
     huge = points.join(dictionary(boxes.where(spans > MOST_CELLS)), in_box).select("case_id", "lng", "lat", "feature_idx")
-    shaped = near.unionByName(huge).join(dictionary(boundaries.select("feature_idx", "shape")), "feature_idx")
-    return shaped.select("case_id", "feature_idx", point_state(F.col("lng"), F.col("lat"), F.col("feature_idx"), F.col("shape")).alias("state"))
+    shaped = near.where("state IS NULL").drop("state").unionByName(huge).join(dictionary(boundaries.select("feature_idx", "shape")), "feature_idx")
+    tested = shaped.select("case_id", "feature_idx", point_state(F.col("lng"), F.col("lat"), F.col("feature_idx"), F.col("shape")).alias("state"))
+    return near.where("state IS NOT NULL").select("case_id", "feature_idx", "state").unionByName(tested)
 
 
 def resolve_points(points: DataFrame, boundaries: DataFrame, cell: float = CELL) -> DataFrame:
