@@ -161,14 +161,19 @@ def lens_label(label: Column, first: Column, last: Column) -> Column:
     )
 
 
-def truth_grid(places: DataFrame, wards: DataFrame, mappings: DataFrame, complaints: DataFrame, lenses=LENSES) -> DataFrame:
-    """(place_id, lens, complaints, latest): one scan of the complaints for all places and lenses; empty cells are there."""
-    matched = place_complaints(relevant_names(places, wards, mappings), complaints.select("normalized_ward_name", "year", "grievance_date"))
-    cells = with_lenses(matched, lenses).groupBy("place_id", "lens").agg(F.count(F.lit(1)).alias("complaints"), F.max("grievance_date").alias("latest"))
+def truth_cells(places: DataFrame, lensed: DataFrame, lenses=LENSES) -> DataFrame:
+    """(place_id, lens, complaints, latest) of lensed rows (place_id, lens, grievance_date); empty cells are there."""
+    cells = lensed.groupBy("place_id", "lens").agg(F.count(F.lit(1)).alias("complaints"), F.max("grievance_date").alias("latest"))
     grid = places.select("place_id", F.explode(F.array(*(F.lit(x[0]) for x in lenses))).alias("lens"))
     return grid.join(cells, ["place_id", "lens"], "left").withColumn("complaints", F.coalesce("complaints", F.lit(0)))
 
 
+def truth_grid(places: DataFrame, wards: DataFrame, mappings: DataFrame, complaints: DataFrame, lenses=LENSES) -> DataFrame:
+    """(place_id, lens, complaints, latest): one scan of the complaints for all places and lenses."""
+    matched = place_complaints(relevant_names(places, wards, mappings), complaints.select("normalized_ward_name", "year", "grievance_date"))
+    return truth_cells(places, with_lenses(matched, lenses), lenses)
+
+
 def identical_summaries(cells: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(digest, places): keys that share all of the columns, by hash; only groups of several."""
     digest = F.sha2(F.to_json(F.struct(*columns)), 256)
