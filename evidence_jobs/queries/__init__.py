@@ -6,7 +6,7 @@ from importlib import import_module
 
 from evidence_jobs.queries.registry import QUERIES, SQL
 
-MODULES = ["scalars", "normalization", "truth", "case_packets", "chunk_index", "sources_eval", "jobs"]
+MODULES = ["scalars", "normalization", "truth", "case_packets", "chunk_index", "sources_eval", "jobs", "files"]
 
 
 def _load() -> None:
