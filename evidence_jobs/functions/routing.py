@@ -22,13 +22,13 @@ COMPLAINTS = r"\b(complaint|complaints|grievance|reported|status|recurring|recur
 
 # Issue type, agency, service, rule, and the terms that tie a record to the issue.
 ROUTES = [
-    ("garbage", "bswml", "solid_waste_collection", "garbage.primary", "blackspot collection dump garbage rubbish solid sweeping swm"),
-    ("water_sewage", "bwssb", "water_or_sewer_service_request", "water_sewage.primary", "drain manhole overflow sewage sewer water"),
-    ("power", "bescom", "electricity_distribution_safety_or_outage", "power.primary", "electrical outage power spark sparks transformer wire wires"),
-    ("traffic", "btp", "traffic_violation_or_disruption", "traffic.primary", "advisory block blocked diversion traffic"),
-    ("streetlight", "gba", "streetlight_maintenance", "streetlight.primary", "electrical light lights street streetlight streetlights"),
-    ("road", "gba", "local_civic_issue", "road.primary", "asphalt drain footpath maintenance pothole potholes road roads"),
-    ("civic", "gba", "local_civic_issue", "civic.fallback", "asphalt drain footpath maintenance pothole potholes road roads"),
+    ("garbage", "bswml", "solid_waste_collection", "garbage.primary", ["blackspot", "collection", "dump", "garbage", "rubbish", "solid", "sweeping", "swm"]),
+    ("water_sewage", "bwssb", "water_or_sewer_service_request", "water_sewage.primary", ["drain", "manhole", "overflow", "sewage", "sewer", "water"]),
+    ("power", "bescom", "electricity_distribution_safety_or_outage", "power.primary", ["electrical", "outage", "power", "spark", "sparks", "transformer", "wire", "wires"]),
+    ("traffic", "btp", "traffic_violation_or_disruption", "traffic.primary", ["advisory", "block", "blocked", "diversion", "traffic"]),
+    ("streetlight", "gba", "streetlight_maintenance", "streetlight.primary", ["electrical", "light", "lights", "street", "streetlight", "streetlights"]),
+    ("road", "gba", "local_civic_issue", "road.primary", ["asphalt", "drain", "footpath", "maintenance", "pothole", "potholes", "road", "roads"]),
+    ("civic", "gba", "local_civic_issue", "civic.fallback", ["asphalt", "drain", "footpath", "maintenance", "pothole", "potholes", "road", "roads"]),
 ]
 # Word lists of the evidence gate, matched as substrings.
 POTHOLE_WORDS = ["pothole", "potholes", "pot hole", "pot holes", "porthole", "portholes", "bad reach", "bad reaches"]
@@ -52,7 +52,7 @@ def has_roadwork(query: Column) -> Column:
 
 def routes(spark: SparkSession) -> DataFrame:
     """The routing table: issue_type, agency_id, service_type, rule_id, match_terms."""
-    return spark.createDataFrame([(*r[:4], r[4].split()) for r in ROUTES], "issue_type string, agency_id string, service_type string, rule_id string, match_terms array<string>")
+    return spark.createDataFrame(ROUTES, "issue_type string, agency_id string, service_type string, rule_id string, match_terms array<string>")
 
 
 def route_cases(cases: DataFrame, query: str = "query") -> DataFrame:

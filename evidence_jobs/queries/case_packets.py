@@ -121,7 +121,7 @@ def _(d):
     return geo.best_boundary_file(d.runs.select("run_id", "status", F.concat(F.lit("a"), "event_id", F.lit(".kml")).alias("raw_file"), (300 + F.col("event_id") % 70).alias("placemarks")))
 
 
-TERMS = "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {r[4].split()}" for r in routing.ROUTES) + " END"
+TERMS = "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {r[4]}" for r in routing.ROUTES) + " END"
 
 
 @query("jn13_route_issue", f"WITH t AS (SELECT case_id, {ISSUE_SQL} AS kind, {matches(norm('query'), routing.ROADWORK)} AS roadwork FROM {{cases}}) SELECT case_id, kind AS issue_type, CASE kind {' '.join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in routing.ROUTES)} END AS agency_id, CASE kind {' '.join(f"WHEN '{r[0]}' THEN '{r[3]}'" for r in routing.ROUTES)} END || CASE WHEN kind = 'traffic' AND roadwork THEN ',roadwork.secondary_gba' ELSE '' END AS rules, CASE WHEN kind = 'traffic' AND roadwork THEN 'gba' END AS secondary FROM t")

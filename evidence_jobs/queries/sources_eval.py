@@ -83,7 +83,15 @@ def _(d):
     return monitored(d).select("source_id", "archive_status", "monitor_status", "archive_age_days", "is_stale", "eligibility", "summary_status")
 
 
-@query("fn26_caveats")
+CAVEATS = MONITOR.rsplit("SELECT id AS source_id", 1)[0] + f""", e AS (SELECT o.*, CASE WHEN f.path LIKE '%.csv' THEN 'easy_structured' WHEN f.path LIKE '%.PDF' THEN 'pdf_extract' ELSE {DIFFICULTY} END AS difficulty, f.status AS ledger_status, f.resource_id, floor((epoch({NOW}) - floor(epoch(t.ts))) / 86400) < 0 AS ahead FROM o LEFT JOIN {{ledger}} f ON f.run_id = o.run_id LEFT JOIN {LAST} t ON t.source_id = o.id)
+    SELECT id AS source_id, concat_ws(' | ', CASE WHEN archive_status = 'not_fetched' THEN 'No archived fetch run is available for this source root.' END, CASE WHEN run_status = '' THEN 'Corrupt manifest.json for latest archive run.' END,
+      CASE ledger_status WHEN 'failed' THEN '1 CKAN resource failed: ' || resource_id || '.' WHEN 'pending' THEN '1 CKAN resource pending.' END, CASE WHEN run_id IS NULL THEN 'not fetched' END,
+      CASE WHEN difficulty IN ('html_snapshot_only', 'portal_later', 'pdf_extract') THEN 'Parser status requires review: ' || difficulty || '.' END, CASE WHEN ahead THEN 'Archive timestamp is in the future relative to this monitor run; review clock/source metadata.' END, CASE WHEN is_stale THEN 'Last archived ' || age || ' days ago; freshness policy is ' || freshness_policy_days || ' days.' END,
+      CASE WHEN pii_risk = 'high' THEN 'High PII risk blocks public-output proof from this source.' END, CASE WHEN access_method IN ('manual_review', 'private', 'account_linked', 'otp_login') THEN 'Manual/private/account-linked access blocks public-output proof in v1.' END) AS caveats,
+      CASE WHEN run_id IS NULL THEN 'blocked' WHEN difficulty IN ('easy_structured', 'medium_structured', 'geo_structured') THEN 'profiled' ELSE difficulty END AS parser_status FROM e"""
+
+
+@query("fn26_caveats", CAVEATS)
 def _(d):
     return monitored(d).select("source_id", F.array_join("caveats", " | ").alias("caveats"), "parser_status")
 

@@ -9,7 +9,7 @@ from evidence_jobs import queries as own
 from evidence_jobs.queries.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in own.oracle_sql() if n.startswith(("fn", "prj", "src", "srt", "win01", "win02", "win11", "agg0", "agg13", "agg18", "agg2", "jn01", "jn02", "jn05", "jn07", "jn09", "jn12", "jn13", "flt01", "flt02"))]
+NAMES = [n for n in own.oracle_sql() if n.startswith(("fn", "prj", "src", "snk", "job01", "job02", "job07", "job08", "agg12", "agg14", "jn20", "srt", "win01", "win02", "win11", "agg0", "agg13", "agg18", "agg2", "jn01", "jn02", "jn05", "jn07", "jn09", "jn12", "jn13", "flt01", "flt02"))]
 SLOW = {"agg05_complaint_stats", "agg06_bucket_stats", "agg07_merge_stats", "agg08_best_bucket", "agg09_answer", "agg25_evidence_summary", "srt03_ranked", "prj13_evidence_rows", "agg26_dossier", "agg24_known_gaps", "agg23_same_summary", "agg17_number_names"}
 
 
