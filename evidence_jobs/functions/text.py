@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Issue keys and their aliases, matched as substrings of normalised text.
 ISSUE_ALIASES = [
@@ -168,27 +166,23 @@ def query_terms(text: Column) -> Column:
     return F.filter(F.split(normalize_name(text), " "), lambda t: F.length(t) > 1)
 
 
-def _place_terms(name: str | None) -> list[str]:
-    words, stops = (name or "").split(), {*PLACE_STOPS, *ISSUE_WORDS}
-    found = []
-    for i, word in enumerate(words):
-        if word in PLACE_STARTS:
-            run = words[i + 1 : i + 4]
-            end = next((j for j, w in enumerate(run) if w in stops), len(run))
-            found.append(" ".join(run[:end]))
-    lead = next((j for j, w in enumerate(words) if w in stops), len(words))
-    found.append(" ".join(words[: min(lead, 3)]))
-    return [p for p in dict.fromkeys(found) if p and not stops.intersection(p.split())]
+def normalized_place_terms(name: Column) -> Column:
+    """place_terms of a text that is normalised already."""
+    among = lambda word, words: F.array_contains(F.array(*(F.lit(w) for w in words)), word)
 
+    def before_stop(run: Column) -> Column:
+        stop = F.array_position(F.transform(run, lambda w: among(w, PLACE_STOPS + ISSUE_WORDS)), True)
+        return F.array_join(F.when(stop > 0, F.slice(run, 1, stop.cast("int") - 1)).otherwise(run), " ")
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _place_terms_udf(names: pd.Series) -> pd.Series:
-    return names.map(_place_terms)
+    words = F.filter(F.split(F.coalesce(name, F.lit("")), " "), lambda w: w != "")
+    places = F.filter(F.transform(words, lambda w, i: F.when(among(w, PLACE_STARTS), i)), lambda i: i.isNotNull())
+    runs = F.concat(F.transform(places, lambda i: F.slice(words, i + 2, F.lit(3))), F.array(F.slice(words, 1, 3)))
+    return F.array_distinct(F.filter(F.transform(runs, before_stop), lambda p: p != ""))
 
 
 def place_terms(query: Column) -> Column:
-    """Place phrases of a query: up to three words after near, in, at, around or on, then the leading words."""
-    return _place_terms_udf(normalize_name(query))
+    """Place phrases of a query: up to three words after near, in, at, around or on, then the leading words; each ends before a stop word."""
+    return normalized_place_terms(normalize_name(query))
 
 
 def first_place_guess(query: Column) -> Column:

@@ -91,6 +91,21 @@ def _(d):
     return readers.read_geojson(d.spark, path, "name:string").select("name", "feature_idx", F.size(shape[0][0]).alias("points"), shape[0][0][0][1].alias("y"))
 
 
+@query("src08_feature_stream", "SELECT doc_id, md5(coalesce(text, '')) AS digest, source, 1 AS polygons, CAST(coalesce(n_chars, 0) AS DOUBLE) AS x FROM documents")
+def _(d):
+    # 64 collections of all documents, each by one task, line by line; an empty element before the first feature spares its comma.
+    corner = lambda x, y: F.array((F.coalesce("n_chars", F.lit(0)) + x).cast("double"), F.lit(y).cast("double"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 0))).alias("coordinates"))
+    feature = F.concat(F.lit(","), F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("doc_id", "text", "source").alias("properties"), geometry.alias("geometry"))))
+    rows = d.documents.select(F.pmod(F.hash("doc_id"), F.lit(64)).alias("file"), F.lit(1).alias("line"), feature.alias("value"))
+    ends = rows.select("file").distinct().select("file", F.explode(F.expr("map(0, '{\"type\":\"FeatureCollection\",\"features\":[null', 2, ']}')")).alias("line", "value"))
+    path = new_folder(d, "features")
+    rows.unionByName(ends).repartition("file").sortWithinPartitions("file", "line").drop("line").write.partitionBy("file").text(path)
+    read = readers.read_geojson(d.spark, f"{path}/*", "doc_id:bigint, text:string, source:string")
+    shape = F.col("shape")
+    return read.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "source", F.size(shape).alias("polygons"), shape[0][0][0][0].alias("x"))
+
+
 @query("src10_trace_log", "SELECT CAST(event_id AS BIGINT) AS seq, event_type, 'mail [REDACTED_EMAIL]' AS note FROM events")
 def _(d):
     path = new_folder(d, "traces")

@@ -113,7 +113,18 @@ def _(d):
     return d.documents.select("doc_id", F.size(own).cast("long").alias("n"), text.overlap(own, F.array(*map(F.lit, ["the", "and", "that", "que"]))).cast("long").alias("common"))
 
 
-@query("fn12_place_terms")
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(
+    "fn12_place_terms",
+    f"""WITH said AS (SELECT case_id, list_filter(string_split({norm("query")}, ' '), lambda w: w <> '') AS w FROM {{cases}}),
+    runs AS (SELECT case_id, list_append(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({sql_list(text.PLACE_STARTS)}, w[i])), lambda i: w[i + 1:i + 3]), w[1:3]) AS r FROM said),
+    cut AS (SELECT case_id, list_transform(r, lambda x: array_to_string(x[1:coalesce(nullif(list_position(list_transform(x, lambda y: list_contains({sql_list(text.PLACE_STOPS + text.ISSUE_WORDS)}, y)), true), 0), 4) - 1], ' ')) AS p FROM runs),
+    kept AS (SELECT case_id, list_filter(p, lambda x, i: x <> '' AND list_position(p, x) = i) AS p FROM cut)
+    SELECT case_id, array_to_string(p, '|') AS places, coalesce(p[1], '') AS first FROM kept""",
+)
 def _(d):
     return d.cases.select("case_id", F.array_join(text.place_terms(F.col("query")), "|").alias("places"), text.first_place_guess(F.col("query")).alias("first"))
 

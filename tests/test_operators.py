@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from evidence_jobs.functions import dates, privacy, text
 from evidence_jobs.functions.geometry import MULTIPOLYGON
-from evidence_jobs.functions.text import _place_terms
 from evidence_jobs.operators import evaluation, geo, index, monitor, normalize, packets, places
 from evidence_jobs.operators.retrieval import lexical_rank
 from evidence_jobs.plans import jobs
@@ -33,11 +32,14 @@ def test_numbers(spark):
         assert values(spark, text.int_or_none(F.lit(given))) == want
 
 
-def test_place_terms():
-    assert _place_terms("streetlight not working near bellandur main road") == ["bellandur"]
-    assert _place_terms("bellandur lake garbage dump") == ["bellandur lake"]
-    assert _place_terms("") == []
-    assert _place_terms("pothole at hsr layout in sector two") == ["hsr layout in", "sector two"]
+def test_place_terms(spark):
+    said = {
+        "streetlight not working near bellandur main road": ["bellandur"], "bellandur lake garbage dump": ["bellandur lake"], "": [], "pothole at hsr layout in sector two": ["hsr layout in", "sector two"],
+        "near": ["near"], "Alpha near Alpha": ["Alpha".lower(), "alpha near alpha"], "on water": ["on"], "a b in c d e f in c d e": ["c d e"], None: [], "in in in": ["in in", "in", "in in in"],
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "q string").select("q", text.place_terms(F.col("q")).alias("places"), text.first_place_guess(F.col("q")).alias("first"))
+    got = {r["q"]: (r["places"], r["first"]) for r in rows.collect()}
+    assert got == {k: (v, v[0] if v else "") for k, v in said.items()}
 
 
 def raw(spark, rows):
