@@ -79,3 +79,16 @@ def test_compressed_collections(spark, tmp_path):
     for name, end in (("a", b""), ("b", b"\n")):
         (tmp_path / f"{name}.geojson.gz").write_bytes(gzip.compress(b'{"type":"FeatureCollection","features":[{"a":1},{"b":2}]}' + end))
     assert readers.read_features(spark, str(tmp_path)).count() == 4
+
+
+def test_more_splits_than_a_broadcast_holds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feature_stream, "is_dictionary", lambda df: False)
+    for i in range(3):
+        (tmp_path / f"f{i}.geojson").write_bytes(made(i))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sorted((r["path"].rsplit("/", 1)[1], r["feature_idx"], r["feature"]) for r in readers.read_features(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(p, i, json.loads(f)) for p, i, f in got] == [(f"f{n}.geojson", i, f) for n in range(3) for i, f in whole(made(n))]
