@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_jobs.functions import routing, text
@@ -29,41 +29,75 @@ def records_of(works: DataFrame, payments: DataFrame) -> DataFrame:
     """Works, then payments, as one table of records with their normalised text."""
     w = works.select(F.lit("work").alias("entity_type"), F.col("work_id").alias("record_id"), "source_id", "ward_number", "ward_regime", F.col("description").alias("claim"), "contractor", "amount", "row_number")
     p = payments.select(F.lit("payment").alias("entity_type"), F.col("payment_id").alias("record_id"), "source_id", "ward_number", "ward_regime", F.col("payment_reference").alias("claim"), "contractor", F.col("net_amount").alias("amount"), "row_number")
-    both = w.unionByName(p)
-    return both.withColumn("text", text.normalize_name(F.concat_ws(" ", "claim", "contractor")))
+    return with_text(w.unionByName(p))
 
 
-def match_records(cases: DataFrame, records: DataFrame) -> DataFrame:
-    """(case_id, rank, record columns, match_method, label, confidence): a case's best records.
+def with_text(records: DataFrame) -> DataFrame:
+    """records with their normalised text."""
+    return records.withColumn("text", text.normalize_name(F.concat_ws(" ", "claim", "contractor")))
 
-    cases (case_id, issue_type, intent, match_terms, ward_number, ward_regime, place,
-    terms). Many cases ask the same: records are joined to the distinct questions, by
-    ward number and by place phrase, ranked there, and the winners go back to the cases.
-    All phrases are looked for in one pass over the records' texts.
-    A ward match is preferred to a match of the place in the text. Works come before
-    payments, then by row number and id.
+
+#: Of a record, what a match shows; the order of those that score alike, works before payments.
+OWN = ["entity_type", "record_id", "source_id", "claim", "amount", "row_number"]
+ORDER = ["row_number", "record_id", "source_id", "claim", "amount"]
+
+
+def leading_records(records: DataFrame, phrases: DataFrame, terms: DataFrame) -> DataFrame:
+    """The first MOST_MATCHES distinct records of each class, with `_held`, the phrases in their text, `_words`, the terms among its words, and its wording.
+
+    Records of a kind, ward and regime whose texts have the same of these are one class: no
+    question can tell them apart, so it takes its best from the first ones. Each task keeps
+    its own first before the shuffle.
     """
+    said = routing.wording(F.col("text"))
+    finds = {"_held": ("text", phrases, False), "_words": ("text", terms, True)}
+    read = with_phrases(records.select(*OWN, "ward_number", "ward_regime", "text", *(c.alias(f"_{w}") for w, c in said.items())), finds, drop=("text",))
+    alike = ["entity_type", "ward_number", "ward_regime", "_held", "_words", *(f"_{w}" for w in said)]
+    n = F.dense_rank().over(Window.partitionBy(*alike).orderBy(*ORDER))
+    return read.withColumn("_n", n).where(F.col("_n") <= MOST_MATCHES).drop("_n").distinct()
+
+
+def asked_questions(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cases that records may bear on with the `question` that they ask, and the distinct questions."""
     asks = ["intent", "match_terms", "ward_number", "ward_regime", "place", "terms"]
     usable = cases.where(~F.col("issue_type").isin(*SKIPPED)).where((F.coalesce("place", F.lit("")) != "") | (F.size("terms") > 0))
-    keyed = usable.withColumn("question", F.sha1(F.to_json(F.struct(*asks))))
-    questions = stored(keyed.groupBy("question").agg(*(F.first(c).alias(c) for c in asks)))
-    own = ["entity_type", "record_id", "source_id", "claim", "amount", "row_number"]
+    keyed = stored(usable.select("case_id", *asks, F.sha1(F.to_json(F.struct(*asks))).alias("question")))
+    return keyed.select("case_id", "question"), stored(keyed.groupBy("question").agg(*(F.first(c).alias(c) for c in asks)))
+
 
+def question_matches(questions: DataFrame, records: DataFrame) -> DataFrame:
+    """(question, rank, record columns, match_method, label, confidence): the best records of asked_questions.
+
+    Questions meet classes of records, by ward number and by place phrase. All phrases are
+    looked for in one pass over the records' texts. A ward match is preferred to a match of
+    the place in the text. Works come before payments, then by row number and id.
+    """
     q = questions.withColumnsRenamed({"ward_number": "q_ward", "ward_regime": "q_regime"})
-    by_ward = records.join(dictionary(q), F.col("q_ward") == F.col("ward_number")).where((F.col("q_ward") != "") & regimes_compatible(F.col("q_regime"), F.col("ward_regime")))
     wanted = F.array_distinct(F.filter(F.concat(F.array("place"), "terms"), lambda t: t.isNotNull() & (t != "")))
     phrases = stored(q.select("question", F.explode(wanted).alias("phrase")).where("phrase <> ''"))
-    held = with_phrases(records, {"_held": ("text", phrases.select("phrase"), False)}).withColumn("phrase", F.explode("_held")).drop("_held")
-    by_text = held.join(dictionary(phrases), "phrase").drop("phrase").join(dictionary(q), "question")
-
-    gate = routing.issue_match(F.col("intent"), F.col("match_terms"), F.col("text"))
-    score = lambda ward: routing.rank_match(F.col("intent"), F.col("text"), F.lit(ward))
-    shape = lambda df, ward, method: df.where(gate).select("question", *own, F.lit(method).alias("match_method"), F.lit(int(not ward)).alias("by"), score(ward).alias("m"))
+    heads = stored(leading_records(records, phrases.select("phrase"), q.select(F.explode("match_terms").alias("term"))))
+    by_ward = heads.join(dictionary(q), F.col("q_ward") == F.col("ward_number")).where((F.col("q_ward") != "") & regimes_compatible(F.col("q_regime"), F.col("ward_regime")))
+    by_text = heads.withColumn("phrase", F.explode("_held")).join(dictionary(phrases), "phrase").drop("phrase").join(dictionary(q), "question")
+
+    said = {w: F.col(f"_{w}") for w in routing.wording(F.lit(""))}
+    gate = routing.worded_match(F.col("intent"), F.col("match_terms"), F.col("_words"), said)
+    score = lambda ward: routing.worded_rank(F.col("intent"), said, F.lit(ward))
+    shape = lambda df, ward, method: df.where(gate).select("question", *OWN, F.lit(method).alias("match_method"), F.lit(int(not ward)).alias("by"), score(ward).alias("m"))
     every = shape(by_ward, True, "ward_number_and_issue_terms").unionByName(shape(by_text, False, "place_text_and_issue_terms"))
-    once = every.groupBy("question", *own).agg(F.min_by(F.struct("match_method", "m"), "by").alias("b")).select("question", *own, "b.match_method", F.col("b.m.label").alias("label"), F.col("b.m.confidence").alias("confidence"))
+    once = every.groupBy("question", *OWN).agg(F.min_by(F.struct("match_method", "m"), "by").alias("b")).select("question", *OWN, "b.match_method", F.col("b.m.label").alias("label"), F.col("b.m.confidence").alias("confidence"))
     order = [F.col("confidence").desc(), F.when(F.col("entity_type") == "work", 0).otherwise(1), "row_number", "record_id"]
-    top = first_rows(once, ["question"], order, MOST_MATCHES)
-    return keyed.select("case_id", "question").join(top, "question").drop("question")
+    return stored(first_rows(once, ["question"], order, MOST_MATCHES))
+
+
+def match_records(cases: DataFrame, records: DataFrame) -> DataFrame:
+    """(case_id, rank, record columns, match_method, label, confidence): a case's best records.
+
+    cases (case_id, issue_type, intent, match_terms, ward_number, ward_regime, place,
+    terms). Many cases ask the same: each question is answered once, and the winners go
+    back to the cases.
+    """
+    keyed, questions = asked_questions(cases)
+    return keyed.join(dictionary(question_matches(questions, records)), "question").drop("question")
 
 
 def evidence_rows(matches: DataFrame) -> DataFrame:
